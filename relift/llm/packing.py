@@ -80,7 +80,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, ope
 
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 32
-        encoder, bins = Encoder(path), BestFit(capacity, open_bins)
+        encoder, bins = Encoder.held(path), BestFit(capacity, open_bins)
         for batch in batches:
             for names, texts in steps(batch.column(0), batch.column(1)):
                 out: dict[str, list] = {part.strip().split(" ")[0]: [] for part in schema.split(",")}

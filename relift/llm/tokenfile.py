@@ -57,7 +57,7 @@ def train_dictionary(docs: DataFrame, path: str | None = None, end_id: int = END
     import zstandard
 
     def work(batches) -> Iterator[dict]:
-        encoder = Encoder(path)
+        encoder = Encoder.held(path)
         for batch in batches:
             for _, texts in steps(batch.column(0), batch.column(1)):
                 yield {"ids": [ids.astype(f"<u{width}").tobytes() for ids in encoder.encode(texts, end_id)]}
@@ -127,7 +127,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> tup
     def frames(batches) -> Iterator[dict]:
         import zstandard
 
-        encoder, zip_ = Encoder(path), zstandard.ZstdCompressor(level=3, **_dict(dictionary))
+        encoder, zip_ = Encoder.held(path), zstandard.ZstdCompressor(level=3, **_dict(dictionary))
         edges = np.array(cuts)
         for batch in batches:
             for names, texts in steps(batch.column(0), batch.column(1)):

@@ -1,18 +1,25 @@
 """Token ids of whole texts by a public tokenizer file.
 
 The file's pre-tokenizer never matches white space, so ids of a text are those of its parts between
-blanks, one after another.  Each task keeps the ids of parts that it has met, up to a bound, and
-asks the tokenizers library for new ones in batches.
+blanks, one after another.  Each Python worker keeps the ids of parts that it has met, up to a bound.
+A new part of plain Latin letters, digits and signs goes to the library's BPE model piece by piece, as
+the file's pre-tokenizer splits it; any other part goes through the library's whole pipeline.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: The tokenizer's file, as the public_tokenizers package names it.
 WORD_BPE = "word_bpe_49k.json"
-#: Parts that a task keeps; beyond, it starts anew.
-KEPT_PARTS = 400_000
+#: Parts that a worker keeps; beyond, it starts anew.
+KEPT_PARTS = 800_000
+#: Parts whose normalised form is their lower case, and how the file splits those.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+_HELD: dict[str, Encoder] = {}
 
 
 def default_path() -> str:
@@ -21,6 +28,13 @@ def default_path() -> str:
     return public_tokenizers.path(WORD_BPE)
 
 
+def _byte_chars() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level vocabularies."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """``encode(texts, end)`` gives one uint32 array a text, the id ``end`` appended; NULL is empty text."""
 
@@ -28,24 +42,42 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.kept, self.ids, self.bytes = kept, {}, {}
+        self.kept, self.parts, self.pieces = kept, {"": b""}, {}
+        self.plain = (path or default_path()) == default_path()  # other files may split and normalise otherwise
+        self.chars = _byte_chars()
+
+    @classmethod
+    def held(cls, path: str | None = None) -> Encoder:
+        """The worker's encoder for this file, with the parts it has kept from earlier tasks."""
+        if (path or "") not in _HELD:
+            _HELD[path or ""] = cls(path)
+        return _HELD[path or ""]
+
+    def _piece(self, piece: str) -> bytes:
+        as_bytes = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars)
+        self.pieces[piece] = found = np.array([t.id for t in self.tokenizer.model.tokenize(as_bytes)], np.uint32).tobytes()
+        return found
 
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.bytes) + len(parts) > self.kept:
-            self.bytes.clear()
-        for at in range(0, len(parts), 20_000):
-            some = parts[at : at + 20_000]
-            for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.bytes[part] = np.array(found.ids, np.uint32).tobytes()
+    def _learn(self, new: list[str]) -> None:
+        pieces, rest = self.pieces, []
+        for part in new:
+            if self.plain and PLAIN(part) and "<|" not in part:
+                self.parts[part] = b"".join([pieces.get(x) or self._piece(x) for x in PIECES(part.lower())])
+            else:
+                rest.append(part)
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.parts[part] = np.array(found.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         last = np.array([end], np.uint32).tobytes()
         split = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        new = set().union(*split) - self.bytes.keys() if split else set()
-        if new:
-            if len(self.bytes) + len(new) > self.kept:
-                self.bytes.clear()
-                new = set().union(*split)
-            self._learn(sorted(new))
-        get = self.bytes.__getitem__
+        new = set().union(*split).difference(self.parts)
+        if len(self.parts) + len(new) > self.kept:
+            self.parts, self.pieces = {"": b""}, {}
+            new = set().union(*split)
+            new.discard("")
+        self._learn(list(new))
+        get = self.parts.__getitem__
         return [np.frombuffer(b"".join(map(get, parts)) + last, np.uint32) for parts in split]
