@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -51,14 +57,36 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir))
+
+
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import removals
+
+    return removals(_docs(spark, sf_dir)).drop("spans")
+
+
+def op10_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cdc import removed
+
+    return removed(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_quality": op2_quality,
         "op3_media": op3_media,
         "op4_language": op4_language,
         "op5_toxicity": op5_toxicity,
         "op6_tokenfile": op6_tokenfile,
         "op7_packing": op7_packing,
+        "op8_neardup": op8_neardup,
+        "op9_suffix": op9_suffix,
+        "op10_chunks": op10_chunks,
     }
 
 
