@@ -17,11 +17,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import documents, map_rows, steps
+from ..shipping import ship
+from .common import documents, fold, map_rows, steps
 from .linear import Hashes, Model, bucket
 
 FOLDS, HELD_OUT = 5, 0
@@ -208,42 +210,33 @@ def features_of(cost):
     return features
 
 
-def prepare(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> tuple[Model, object]:
-    """(model, features) learnt from ``docs`` and from the labels outside the held-out fold."""
-    from .common import fold
-
+def prepare(docs: DataFrame, labels: DataFrame) -> tuple[Model, object]:
+    """(model, features) learnt from ``docs`` and ``labels``."""
     cost = docs.sparkSession.sparkContext.broadcast(costs(trigram_counts(docs)))  # 64**3 floats, whatever the corpus
     features = features_of(cost)
-    return labelled.train(docs, labels.where(fold("doc_id", folds) != held_out), "toxic", features), features
+    return labelled.train(docs, labels, "toxic", features), features
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
-    from .common import fold
-
-    model, features = prepare(docs, labels)
+    """doc_id, held_out, score, predicted for every row of ``docs``; trained outside the held-out fold."""
+    model, features = prepare(docs, labels.where(fold("doc_id", FOLDS) != HELD_OUT))
     return labelled.score(docs, model, features).select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns and in their multiplicity."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; trained on all the labels."""
     model, features = prepare(docs, labels)
     kind = docs.schema
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def keep(batches):
-        import pyarrow as pa
-
         f = features()
         for batch in batches:
-            verdict, first = [], 0
+            verdict: list[bool] = []
             for _, texts in steps(batch.column(at), batch.column(at)):
                 verdict += (held.value.score(f(texts)) < 0.5).tolist()
-                first += len(texts)
             yield batch.filter(pa.array(verdict, pa.bool_()))
 
-    from ..shipping import ship
-
     ship(docs.sparkSession)
     return docs.mapInArrow(keep, kind)
