@@ -25,6 +25,8 @@ from .common import bounded, documents, fold, map_rows, map_texts, steps
 FOLDS, HELD_OUT = 5, 0
 #: Documents that the model is trained on, at most about; buckets of character trigrams.
 TRAIN_ROWS, BUCKETS = 6000, 1 << 17
+#: Characters whose trigrams are held at once.
+PART = 250_000
 #: Nats that a switch between words costs, and the most that one word may prefer a language by.
 SWITCH, WORD_CAP = 6.0, 8.0
 #: First code points of ranges and their scripts, up to the next entry.
@@ -88,12 +90,24 @@ class Model:
         s = np.maximum(s - s.max(1, keepdims=True), -WORD_CAP)
         return np.where(self.allowed[w.script], s, np.float32(-1e4))
 
-    def label(self, w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(the language of each word, the word scores), by Viterbi over each of ``n`` texts.
+    def scored(self, texts: list[str | None]) -> tuple[Words, np.ndarray]:
+        """The words of the texts, without trigrams, and their scores; trigrams are made for some texts at a time."""
+        parts, first, size = [], 0, 0
+        for i, text in enumerate(texts):
+            size += len(text or "")
+            if size >= PART or i + 1 == len(texts):
+                w = words(texts[first : i + 1])
+                parts.append((w.owner + first, w.size, w.script, w.start, self.word_scores(w)))
+                first, size = i + 1, 0
+        owner, many, script, start, s = (np.concatenate(c) for c in zip(*parts, strict=True))
+        none = np.zeros(0, np.int64)
+        return Words(owner, many, script, start, none, none), s
+
+    def label(self, w: Words, s: np.ndarray, n: int) -> np.ndarray:
+        """The language of each word, by Viterbi over each of ``n`` texts.
 
         All texts advance together, longest first, so a step is one array operation.
         """
-        s = self.word_scores(w)
         out = np.zeros(len(w.size), np.int8)
         count = np.bincount(w.owner, minlength=n)
         first = np.concatenate([[0], np.cumsum(count)[:-1]])
@@ -101,7 +115,7 @@ class Model:
         count, first = count[order], first[order]
         alive = int((count > 0).sum())
         if not alive:
-            return out, s
+            return out
         steps_ = int(count[0])
         active = np.searchsorted(-count, -np.arange(1, steps_ + 1), "right")  # texts with more than t words
         best = s[first[:alive]].astype(np.float64)
@@ -122,7 +136,7 @@ class Model:
             out[at] = state[:k]
             if t:
                 state[:k] = np.where(jump[at, state[:k]], top[at], state[:k])
-        return out, s
+        return out
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -133,7 +147,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def work(batches) -> Iterator[dict]:
         counts: dict[str, list[np.ndarray]] = {}
         for batch in batches:
-            for langs, texts in steps(batch.column(2), batch.column(1)):
+            for langs, texts in steps(batch.column(2), batch.column(1), PART):
                 for lang in sorted(set(langs)):
                     w = words([t for t, k in zip(texts, langs, strict=True) if k == lang])
                     held = counts.setdefault(lang, [np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPTS), np.int64)])
@@ -171,11 +185,11 @@ def label_spans(docs: DataFrame, model: Model) -> DataFrame:
         m = held.value
 
         def columns(ids: list, texts: list) -> dict:
-            w = words(texts)
+            w, s = m.scored(texts)
             names = {k: [] for k in ("doc_id", "lang", "start", "end", "words", "letters", "margin")}
             if not m.langs or not len(w.size):
                 return names | {"doc_id": ids, "lang": [None] * len(ids)} | {k: [0] * len(ids) for k in ("start", "end", "words", "letters", "margin")}
-            label, s = m.label(w, len(ids))
+            label = m.label(w, s, len(ids))
             rows = np.arange(len(label))
             other = s.copy()
             other[rows, label] = -np.inf
@@ -208,11 +222,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
         def columns(ids: list, texts: list) -> dict:
             n, k = len(ids), max(1, len(m.langs))
-            w = words(texts)
+            w, s = m.scored(texts)
             out = {"doc_id": ids, "lang_pred": ["und"] * n, "score": [0.0] * n, "languages": [0] * n, "spans": [0] * n}
             if not m.langs or not len(w.size):
                 return out
-            label, s = m.label(w, n)
+            label = m.label(w, s, n)
             size = np.bincount(w.owner * k + label, w.size, n * k).reshape(n, k)
             best, total = size.argmax(1), size.sum(1)
             there = total > 0
