@@ -6,10 +6,11 @@ value there as a leading-zero count and ten mantissa bits; an empty bucket takes
 same one in equal sets.  ``ROWS`` registers make a band; documents with an equal band are candidates.
 A pair at the similarity has a band in common but for a chance of about (1 - 0.8**6)**60 = 1e-8.
 
-1. In each block, equal sets become one; candidates in the block are joined into local groups, and each
-   band key leaves the block once.
-2. Keys of several blocks link local groups; components of these links are the coarse groups, outside
-   which no candidates are.  Equal sets of several blocks, by 128 bits of digest, are linked at once.
+1. Equal sets, by 128 bits of digest, are linked at once, in each block and then over all; the least
+   document of each goes on.
+2. Candidates in one block are joined into local groups, and each band key leaves the block once.  Keys
+   of several blocks link local groups; components of these links are the coarse groups, outside which
+   no candidates are.
 3. Each coarse group's texts meet in one task, large groups in one task for each pair of chunks.  There every pair not yet connected is estimated by its registers, corrected for
    registers that agree by chance, and confirmed on the full sets.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import documents, map_rows, stored
 from .components import components
-from .exchange import bucket_count, by_bucket, expand, groups, make_blocks, meet, squeeze, unpack
+from .exchange import bucket_count, by_bucket, exchange, expand, groups, make_blocks, meet, pack, squeeze, unpack
 
 #: Words of a shingle; the similarity of a link in hundredths.
 WORDS, SIMILAR = 2, 80
@@ -135,10 +136,10 @@ def _digest(own: np.ndarray) -> bytes:
 
 
 def _sketch_blocks(blocks: DataFrame, words: int, buckets: int) -> DataFrame:
-    """Kind 0 rows: band keys with their local group; kind 1: digests with their least doc_id; kind 2: sets.
+    """Kind 1 rows: digests with their least doc_id; kind 2: sets; kind 3: sketches as an Arrow stream.
 
-    A kind 2 row stands for one block: arrays of its distinct sets' least doc_id, size and local group,
-    and for every document with a word which set it has; documents without words have set -1.
+    A kind 2 row stands for one block: arrays of its distinct sets' least doc_id and size, and for every
+    document which set it has; documents without words have set -1.
     """
 
     def work(batches) -> Iterator[dict]:
@@ -161,39 +162,19 @@ def _sketch_blocks(blocks: DataFrame, words: int, buckets: int) -> DataFrame:
                                 at[digest] = len(at)
                                 least.append(doc_id)
                                 sizes.append(len(own))
-                                sketches.append(registers(own))
+                                sketches.append(registers(own).tobytes())
                             known[text or ""] = at[digest]
                     k = known[text or ""]
                     rows.append(k)
                     if k >= 0:
                         least[k] = min(least[k], doc_id)
-                n = len(at)
-                order = np.argsort(least, kind="stable") if n else np.zeros(0, np.int64)
-                place = np.empty(n, np.int64)
-                place[order] = np.arange(n)
-                least, sizes = np.array(least, np.int64)[order], np.array(sizes, np.int64)[order]
-                out = {"kind": [], "block": [], "bucket": [], "blob": []}
-                group = np.zeros(0, np.int64)
-                if n:
-                    keys = band_keys(np.stack(sketches)[order])
-                    flat, owner = keys.ravel(), np.repeat(np.arange(n), BANDS)
-                    by = np.argsort(flat, kind="stable")
-                    first = groups(flat[by])
-                    sets, stops = Sets(n), np.append(first[1:], len(by))
-                    for a, b in zip(first[stops - first > 1].tolist(), stops[stops - first > 1].tolist(), strict=True):
-                        lead = int(owner[by[a]])
-                        for x in owner[by[a + 1 : b]].tolist():
-                            sets.join(lead, x)
-                    group = least[sets.roots()]
-                    for kind, made in ((0, by_bucket(block, buckets, flat[by[first]], group[owner[by[first]]])), (1, by_bucket(block, buckets, *np.frombuffer(b"".join(sorted(at, key=lambda d: place[at[d]])), "<u8").reshape(-1, 2).T, least))):
-                        out["kind"] += [kind] * len(made["block"])
-                        for name in ("block", "bucket", "blob"):
-                            out[name] += made[name]
-                which = np.array([place[k] if k >= 0 else -1 for k in rows], np.int64)
-                out["kind"].append(2)
-                out["block"].append(block)
-                out["bucket"].append(0)
-                out["blob"].append(squeeze(np.concatenate([[n, len(ids)], least, sizes, group, np.array(ids, np.int64), which]).astype("<i8")))
+                out = {"kind": [2], "block": [block], "bucket": [0], "blob": [squeeze(np.concatenate([[len(at), len(ids)], least, sizes, ids, rows]).astype("<i8"))]}
+                if at:
+                    made = by_bucket(block, buckets, *np.frombuffer(b"".join(at), "<u8").reshape(-1, 2).T, np.array(least, np.int64))
+                    out["blob"] += [*made["blob"], pack([pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(sketches, pa.binary())], ["rep", "sketch"])])]
+                    out["kind"] += [1] * len(made["block"]) + [3]
+                    out["block"] += [*made["block"], block]
+                    out["bucket"] += [*made["bucket"], 0]
                 yield out
 
     return map_rows(blocks, work, "kind int, block long, bucket int, blob binary")
@@ -202,27 +183,79 @@ def _sketch_blocks(blocks: DataFrame, words: int, buckets: int) -> DataFrame:
 def _sets_of(blob: bytes) -> tuple[np.ndarray, ...]:
     (flat,) = expand(blob, "<i8")
     n, m = int(flat[0]), int(flat[1])
-    return tuple(np.split(flat[2:], [n, 2 * n, 3 * n, 3 * n + m]))
+    return tuple(np.split(flat[2:], [n, 2 * n, 2 * n + m]))
 
 
-def _links(made: DataFrame, kind: int, kinds: tuple[str, ...], buckets: int) -> DataFrame:
-    """(u, v): for keys of several blocks each owner and the least; digests must agree in their other half too."""
+def _judge_digests(key: np.ndarray, block: np.ndarray, check: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For equal digests (both halves), the owners other than the least, and the least."""
+    order = np.lexsort((owner, check, key))
+    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])]) if len(key) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    lead = np.empty(len(key), np.int64)
+    lead[order] = np.repeat(owner[order][first], np.diff(np.append(first, len(key))))
+    rows = np.flatnonzero(lead != owner)
+    return rows, [owner[rows], lead[rows]]
+
+
+def _local_groups(sketches: DataFrame, equal: DataFrame, buckets: int) -> DataFrame:
+    """Kind 0 rows: band keys with their local group; kind 4: sets and their groups.
+
+    Only the first document of an equal set goes on; its candidates within the block are one group.
+    """
+
+    def work(block: int, table: pa.Table, replies: list[bytes], _) -> dict:
+        gone = set(np.concatenate([expand(r, "<u8", "<i8", "<i8")[1] for r in replies]).tolist()) if replies else set()
+        reps = np.array(table.column("rep").to_pylist(), np.int64)
+        keep = np.array([x not in gone for x in reps.tolist()], bool)
+        sketch = np.stack([np.frombuffer(x, np.uint16) for x in table.column("sketch").to_pylist()])[keep]
+        order = np.argsort(reps[keep], kind="stable")
+        reps, sketch = reps[keep][order], sketch[order]
+        n = len(reps)
+        if not n:
+            return {"kind": [], "block": [], "bucket": [], "blob": []}
+        flat, owner = band_keys(sketch).ravel(), np.repeat(np.arange(n), BANDS)
+        by = np.argsort(flat, kind="stable")
+        first = groups(flat[by])
+        stops, sets = np.append(first[1:], len(by)), Sets(n)
+        many = stops - first > 1
+        for a, b in zip(first[many].tolist(), stops[many].tolist(), strict=True):
+            lead = int(owner[by[a]])
+            for x in owner[by[a + 1 : b]].tolist():
+                sets.join(lead, x)
+        group = reps[sets.roots()]
+        made = by_bucket(block, buckets, flat[by[first]], group[owner[by[first]]])
+        count = len(made["block"])
+        return {"kind": [0] * count + [4], "block": [*made["block"], block], "bucket": [*made["bucket"], 0], "blob": [*made["blob"], squeeze(reps.astype("<i8"), group.astype("<i8"))]}
+
+    return meet(sketches.select("block", F.col("blob").alias("payload")), equal, work, "kind int, block long, bucket int, blob binary")
+
+
+def _group_links(keys: DataFrame, buckets: int) -> DataFrame:
+    """(u, v): for band keys of several blocks, each local group and the least."""
 
     def reduce(table: pa.Table) -> pa.Table:
-        parts = [expand(blob.as_py(), "<u8", *kinds) for blob in table.column("blob")]
-        key, *check, owner = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        order = np.lexsort((owner, *check, key))
+        key, owner = (np.concatenate(c) for c in zip(*(expand(blob.as_py(), "<u8", "<i8") for blob in table.column("blob")), strict=True))
+        order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        for c in check:
-            new[1:] |= c[order][1:] != c[order][:-1]
-        first = np.flatnonzero(new)
+        first = groups(key)
         lead = np.repeat(owner[first], np.diff(np.append(first, len(key))))
         pairs = np.unique(np.stack([owner, lead], 1)[owner != lead], axis=0)
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    rows = made.where(F.col("kind") == kind).select("bucket", "blob")
-    return rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "u long, v long").distinct()
+    return keys.select("bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "u long, v long").distinct()
+
+
+def _columns(df: DataFrame, kinds: tuple[str, ...], names: tuple[str, ...]) -> DataFrame:
+    """Blobs as rows of block and long columns; columns named '' are left out."""
+    wanted = [(i, n) for i, n in enumerate(names) if n]
+
+    def flat(batches) -> Iterator[dict]:
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                columns = expand(blob.as_py(), *kinds)
+                yield {"block": np.full(len(columns[0]), block)} | {n: columns[i] for i, n in wanted}
+
+    return map_rows(df.select("block", "blob"), flat, "block long, " + ", ".join(f"{n} long" for _, n in wanted))
 
 
 def confirm(ids: list[int], sets: list[np.ndarray], similar: int) -> list[tuple[int, int]]:
@@ -254,22 +287,24 @@ def groups_of(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, block
     blocks = make_blocks(documents(docs)) if blocks is None else blocks
     buckets = bucket_count(blocks)
     made = stored(_sketch_blocks(blocks, words, buckets), "sketches")
+    same = stored(exchange(made.where("kind = 1").select("block", "bucket", "blob"), ("<u8", "<i8"), _judge_digests, buckets), "equal")
+    local = stored(_local_groups(made.where("kind = 3"), same, buckets), "groups")
+    coarse = components(_group_links(local.where("kind = 0"), buckets))
 
     def flat(batches) -> Iterator[dict]:
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                least, sizes, group, ids, which = _sets_of(blob.as_py())
+                least, sizes, ids, which = _sets_of(blob.as_py())
                 by = np.argsort(which, kind="stable")
                 edges = np.searchsorted(which[by], np.arange(-1, len(least) + 1))
                 docs_of = [ids[by[edges[k] : edges[k + 1]]].tolist() for k in range(len(least) + 1)]
-                yield {"block": [block] * (len(least) + 1), "rep": [None, *least.tolist()], "size": [0, *sizes.tolist()], "grp": [None, *group.tolist()], "docs": docs_of}
+                yield {"block": [block] * (len(least) + 1), "rep": [None, *least.tolist()], "size": [0, *sizes.tolist()], "docs": docs_of}
 
-    every = map_rows(made.where("kind = 2").select("block", "blob"), flat, "block long, rep long, size long, grp long, docs array<long>")
+    every = map_rows(made.where("kind = 2").select("block", "blob"), flat, "block long, rep long, size long, docs array<long>")
     sets = every.where("rep IS NOT NULL")
-    equal = stored(_links(made, 1, ("<u8", "<i8"), buckets).select(F.col("u").alias("rep"), F.col("v").alias("first")), "equal")
-    coarse = components(_links(made, 0, ("<i8",), buckets))
+    equal = _columns(same, ("<u8", "<i8", "<i8"), ("", "rep", "first")).select("rep", "first").distinct()
     # the least document of each distinct set, with its coarse group
-    firsts = sets.join(equal, "rep", "left_anti").select("block", "rep", "size", "grp").join(coarse.withColumnRenamed("node", "grp"), "grp", "left").select("block", "rep", "size", F.coalesce("component", "grp").alias("grp"))
+    firsts = _columns(local.where("kind = 4"), ("<i8", "<i8"), ("rep", "grp")).join(coarse.withColumnRenamed("node", "grp"), "grp", "left").select("block", "rep", F.coalesce("component", "grp").alias("grp"))
     firsts = stored(firsts.dropDuplicates(["rep"]), "sets")
     # written, so that the join has two plain shuffles whose hot keys Spark can split
     counts = stored(firsts.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "counts")
