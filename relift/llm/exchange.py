@@ -30,7 +30,7 @@ LAST = (1 << 63) - 1
 
 def pack(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         for batch in batches:
             out.write_batch(batch)
     return sink.getvalue().to_pybytes()

@@ -2,7 +2,7 @@
 
 A byte goes if a string of ``MIN`` bytes that covers it also starts in a document with a smaller doc_id.
 
-1. Every window of ``MIN`` bytes has one anchor: the least hash of its 16-byte grams, the leftmost of
+1. Every window of ``MIN`` bytes has one anchor: the least hash of its 24-byte grams, the leftmost of
    equals.  Equal windows have equal anchors, so only documents that share an anchor can share a window.
    The windows of one anchor are neighbours; the stretch of text they cover is the anchor's run.
 2. Each block of documents names its anchors once, with a digest of the run (0 if it has several) and
@@ -34,7 +34,7 @@ from .common import documents, map_rows, stored
 from .exchange import LAST, bucket_count, by_bucket, exchange, expand, groups, least_owner, make_blocks, meet, squeeze, unpack
 
 #: Bytes of a repeated string; of an anchor's gram.
-MIN, GRAM = 50, 16
+MIN, GRAM = 50, 24
 #: Bytes that one vectorised step works on, and the bits that a place in a step takes in an anchor's order.
 STEP, PLACE = 1_000_000, np.uint64(20)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -80,12 +80,15 @@ class Prefix:
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the 16 bytes that start at each place."""
+    """A hash of the ``GRAM`` bytes that start at each place."""
     x = data.astype(np.uint64)
     for k in (1, 2, 4):
         x = x[:-k] | x[k:] << np.uint64(8 * k)
-    x = x[:-8] * ODD + (x[8:] ^ np.uint64(BASE)) * np.uint64(BASE)
-    return _mix(x)
+    n = len(data) - GRAM + 1
+    out = x[:n] * ODD
+    for k in range(8, GRAM, 8):
+        out = _mix(out ^ x[k : k + n])
+    return out
 
 
 def window_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -315,7 +318,6 @@ def _first_pass(block: int, table: pa.Table, replies: list[bytes], buckets: int)
                 doubtful.append((data[a.first[i] : a.stop[i] + MIN - 1], int(whose[i]), int(a.first[i] + shift[i])))
     out: dict[str, list] = {"block": [], "kind": [], "bucket": [], "blob": []}
     spans = [np.concatenate(c).astype(np.int64) for c in zip(*settled, strict=True)] if settled else [np.zeros(0, np.int64)] * 3
-    windows = [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
     if doubtful:
         # all their runs as one text, each followed by a symbol that no byte is
         sizes = np.array([len(d) for d, _, _ in doubtful])
@@ -325,27 +327,29 @@ def _first_pass(block: int, table: pa.Table, replies: list[bytes], buckets: int)
         joined[inner] = np.concatenate([d for d, _, _ in doubtful])
         order, group = prefix_groups(joined, MIN)
         run_of = np.repeat(np.arange(len(sizes)), sizes + 1)[order]
-        offset = order - begin[run_of]
-        window = offset + MIN <= sizes[run_of]
-        order, group, run_of, offset = order[window], group[window], run_of[window], offset[window]
-        text = np.array([t for _, t, _ in doubtful])[run_of]
-        start = np.array([p for _, _, p in doubtful])[run_of] + offset
+        window = order - begin[run_of] + MIN <= sizes[run_of]
+        order, group, run_of = order[window], group[window], run_of[window]
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        who = np.minimum.reduceat(texts.owner[text], first)
-        digest = np.empty(len(first), np.uint64)
-        for a in range(0, len(first), 20_000):
-            rows = joined[order[first[a : a + 20_000], None] + np.arange(MIN)]
-            digest[a : a + 20_000] = _mix((LETTER[rows] * POWERS[:MIN]).sum(1, dtype=np.uint64))
-        # all windows of the block: digest, text, start, least doc_id of the block
-        sizes = np.diff(np.append(first, len(group)))
-        windows = [np.repeat(digest, sizes), text, start, np.repeat(who, sizes)]
+        who = np.minimum.reduceat(texts.owner[np.array([t for _, t, _ in doubtful])[run_of]], first)
+        digest = window_digests(joined)[order[first]]
         keys = by_bucket(block, buckets, digest, who)
         out = {"block": keys["block"], "kind": [0] * len(keys["block"]), "bucket": keys["bucket"], "blob": keys["blob"]}
-    state_blob = np.array([len(spans[0])], "<i8").tobytes() + np.stack(spans, 1).astype("<i8").tobytes() + np.stack([windows[0].astype(np.uint64).view(np.int64), *windows[1:]], 1).astype("<i8").tobytes()
+    doubts = [np.array(c, np.int64) for c in zip(*((t, a, a + len(d)) for d, t, a in doubtful), strict=True)] if doubtful else [np.zeros(0, np.int64)] * 3
     out["block"].append(block)
     out["kind"].append(1)
     out["bucket"].append(0)
-    out["blob"].append(squeeze(np.frombuffer(state_blob, "<i8")))
+    out["blob"].append(squeeze(np.concatenate([[len(spans[0])], *spans, *doubts]).astype("<i8")))
+    return out
+
+
+def window_digests(symbols: np.ndarray) -> np.ndarray:
+    """A digest of the ``MIN`` symbols that start at each place; the last places have none."""
+    out = np.zeros(len(symbols), np.uint64)
+    for a in range(0, max(0, len(symbols) - MIN + 1), STEP - MIN):
+        part = symbols[a : a + STEP]
+        made = Prefix(part & 255)
+        at = np.arange(len(part) - MIN + 1)
+        out[a : a + len(at)] = made.digest(at, at + MIN)
     return out
 
 
@@ -363,19 +367,32 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _last_pass(table: pa.Table, replies: list[bytes], states: list[bytes]) -> Iterator[tuple[int | None, bytes, np.ndarray, np.ndarray]]:
     """For each row: doc_id, bytes, and the starts and ends of what goes."""
     texts = Texts(table)
-    spans, windows = np.zeros((0, 3), np.int64), np.zeros((0, 4), np.int64)
+    spans, doubts = np.zeros((0, 3), np.int64), np.zeros((0, 3), np.int64)
     for state in states:
         (flat,) = expand(state, "<i8")
         n = int(flat[0])
-        spans, windows = flat[1 : 1 + 3 * n].reshape(-1, 3), flat[1 + 3 * n :].reshape(-1, 4)
-    if len(windows):
+        spans, doubts = flat[1 : 1 + 3 * n].reshape(3, -1).T, flat[1 + 3 * n :].reshape(3, -1).T
+    if len(doubts):
         known, least = _read(replies, "<i8")
-        at, there = _look(windows[:, 0].view(np.uint64) if windows[:, 0].flags.c_contiguous else np.ascontiguousarray(windows[:, 0]).view(np.uint64), known)
-        who = windows[:, 3].copy()
+        text, start, end = doubts.T
+        sizes = end - start
+        joined = np.frombuffer(b"".join(texts.raws[t][a:b] for t, a, b in doubts.tolist()), np.uint8).astype(np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        run_of = np.repeat(np.arange(len(sizes)), sizes - MIN + 1)
+        offset = np.arange(len(run_of)) - np.repeat(np.concatenate([[0], np.cumsum(sizes - MIN + 1)[:-1]]), sizes - MIN + 1)
+        digest = window_digests(joined)[begin[run_of] + offset]
+        # the least doc_id with the window in this block, then in all
+        order = np.argsort(digest, kind="stable")
+        first = groups(digest[order])
+        mine = texts.owner[text[run_of]]
+        who = np.empty(len(digest), np.int64)
+        who[order] = np.repeat(np.minimum.reduceat(mine[order], first), np.diff(np.append(first, len(digest))))
+        at, there = _look(digest, known)
         if len(known):
             who = np.where(there, np.minimum(who, least[at]), who)
-        over = who < texts.owner[windows[:, 1]]
-        spans = np.concatenate([spans, np.stack([windows[over, 1], windows[over, 2], windows[over, 2] + MIN], 1)])
+        over = who < mine
+        a = (start[run_of] + offset)[over]
+        spans = np.concatenate([spans, np.stack([text[run_of][over], a, a + MIN], 1)])
     order = np.argsort(spans[:, 0], kind="stable")
     spans = spans[order]
     edges = np.searchsorted(spans[:, 0], np.arange(len(texts.raws) + 1))
