@@ -48,6 +48,8 @@ def _tables() -> tuple[np.ndarray, ...]:
 
 
 SYMBOLS, IS_LETTER, IS_SIGN, IS_SEPARATOR = _tables()
+#: Signs that end sentences or set words apart, where they follow a letter.
+IS_PUNCTUATION = np.isin(np.arange(TABLE), [ord(c) for c in "!|(+*"])
 
 
 def points(text: str) -> np.ndarray:
@@ -100,7 +102,8 @@ class Restorer:
         same = (p[2:] == p[1:-1]) & (p[1:-1] == p[:-2]) & letter[2:]
         hits = np.concatenate([hits, np.flatnonzero(same)])
         spans = self._spans(low, hits.tolist()) if len(hits) else []
-        spans += self._spaced(low, p, letter | sign)
+        after_letter = np.concatenate([[False], letter[:-1]])
+        spans += self._spaced(p, letter | sign & ~(IS_PUNCTUATION[p] & after_letter))
         if not spans:
             return low
         out, last = [], 0
@@ -132,7 +135,7 @@ class Restorer:
         return found
 
     @staticmethod
-    def _spaced(low: str, p: np.ndarray, word: np.ndarray) -> list[tuple[int, int]]:
+    def _spaced(p: np.ndarray, word: np.ndarray) -> list[tuple[int, int]]:
         edge = np.concatenate([[False], word, [False]])
         lone = edge[1:-1] & ~edge[:-2] & ~edge[2:]
         if len(p) < 5:
