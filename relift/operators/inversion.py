@@ -1,9 +1,10 @@
 """A logical table from a graph: triple patterns as joins, term maps undone by string functions.
 
 One lazy DataFrame a table.  Patterns are deduplicated and joined on the variables they share, in a
-fixed order (constants, templates, references, joins, subjects), because the first term map that yields
+fixed order (constants, references, templates, joins, subjects), because the first term map that yields
 a column binds it; later ones only have to agree.  A column is bound either to an RDF term or to plain
-text cut out of a term, and a term meets plain text only as a plain literal.
+text cut out of a term.  The loose form takes templates before references, where a term meets plain
+text only as a plain literal, and lets object templates disagree.
 """
 
 from __future__ import annotations
@@ -220,7 +221,7 @@ class Inversion:
         cut = slices(text, o.template)
         if set(o.references) & self.excluded:  # the split is in doubt: columns that a literal shows are taken from there
             cut = {c: x for c, x in cut.items() if c not in self.literals}
-        self._agree({c: x for c, x in cut.items() if c not in self.excluded}, check=False)
+        self._agree({c: x for c, x in cut.items() if c not in self.excluded}, check=self.strict and not self.optional)
 
     def _predicate_template(self, rule: Rule, pattern: Pattern) -> None:
         p = rule.predicate
@@ -315,7 +316,7 @@ class Inversion:
         wanted = [c for c in dict.fromkeys(wanted) if c not in self.excluded]
         if not wanted:
             return None
-        order = {CONSTANT: 0, TEMPLATE: 1, REFERENCE: 2, PARENT: 3}
+        order = {CONSTANT: 0, REFERENCE: 1, TEMPLATE: 2 if self.strict else 0.5, PARENT: 3}
         self.literals = {r.object.value for r in rules if r.object.kind == REFERENCE}
         patterns: dict[Rule, Pattern] = {}
         done: set[tuple] = set()

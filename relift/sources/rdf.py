@@ -55,7 +55,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def read_quads(spark: SparkSession, path: str) -> DataFrame:
     """Quads of a file or folder; the format follows from the extension."""
     if format_of(path) == "parquet":
-        return spark.read.schema(QUAD).parquet(path)
+        return spark.read.schema(QUAD).parquet(path).select(*QUAD.names)
     return parse_lines(spark.read.text(path))
 
 
