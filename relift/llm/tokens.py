@@ -9,13 +9,14 @@ the file's pre-tokenizer splits it; any other part goes through the library's wh
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
 #: The tokenizer's file, as the public_tokenizers package names it.
 WORD_BPE = "word_bpe_49k.json"
 #: Parts that a worker keeps; beyond, it starts anew.
-KEPT_PARTS = 800_000
+KEPT_PARTS = 600_000
 #: Parts whose normalised form is their lower case, and how the file splits those.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
@@ -35,16 +36,48 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Parts(dict):
+    """The ids, as bytes, of each part; a new part's are found on first use."""
+
+    def __init__(self, tokenizer, plain: bool):
+        super().__init__({"": b""})
+        self.tokenizer, self.plain, self.pieces, self.chars = tokenizer, plain, {}, _byte_chars()
+
+    def _piece(self, piece: str) -> bytes:
+        as_bytes = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars)
+        self.pieces[piece] = found = array("I", [t.id for t in self.tokenizer.model.tokenize(as_bytes)]).tobytes()
+        return found
+
+    def __missing__(self, part: str) -> bytes:
+        known, piece = self.pieces.get, self._piece
+        low = part.lower()
+        if self.plain and part.isascii() and part.isalpha():
+            found = known(low) or piece(low)
+        elif self.plain and part.isascii() and part[:-1].isalpha() and part[-1] in ".,!?;:":
+            found = (known(low[:-1]) or piece(low[:-1])) + (known(low[-1]) or piece(low[-1]))
+        elif self.plain and PLAIN(part) and "<|" not in part:
+            found = b"".join([known(x) or piece(x) for x in PIECES(low)])
+        else:
+            found = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        self[part] = found
+        return found
+
+    def trim(self, most: int) -> None:
+        if len(self) > most:
+            self.clear()
+            self.pieces.clear()
+            self[""] = b""
+
+
 class Encoder:
     """``encode(texts, end)`` gives one uint32 array a text, the id ``end`` appended; NULL is empty text."""
 
     def __init__(self, path: str | None = None, kept: int = KEPT_PARTS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.kept, self.parts, self.pieces = kept, {"": b""}, {}
-        self.plain = (path or default_path()) == default_path()  # other files may split and normalise otherwise
-        self.chars = _byte_chars()
+        # another file may split and normalise otherwise: its parts go through its whole pipeline
+        self.parts = Parts(Tokenizer.from_file(path or default_path()), (path or default_path()) == default_path())
+        self.kept = kept
 
     @classmethod
     def held(cls, path: str | None = None) -> Encoder:
@@ -53,31 +86,9 @@ class Encoder:
             _HELD[path or ""] = cls(path)
         return _HELD[path or ""]
 
-    def _piece(self, piece: str) -> bytes:
-        as_bytes = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars)
-        self.pieces[piece] = found = np.array([t.id for t in self.tokenizer.model.tokenize(as_bytes)], np.uint32).tobytes()
-        return found
-
-    def _learn(self, new: list[str]) -> None:
-        pieces, rest = self.pieces, []
-        for part in new:
-            if self.plain and PLAIN(part) and "<|" not in part:
-                self.parts[part] = b"".join([pieces.get(x) or self._piece(x) for x in PIECES(part.lower())])
-            else:
-                rest.append(part)
-        for at in range(0, len(rest), 20_000):
-            some = rest[at : at + 20_000]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.parts[part] = np.array(found.ids, np.uint32).tobytes()
-
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        last = np.array([end], np.uint32).tobytes()
-        split = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        new = set().union(*split).difference(self.parts)
-        if len(self.parts) + len(new) > self.kept:
-            self.parts, self.pieces = {"": b""}, {}
-            new = set().union(*split)
-            new.discard("")
-        self._learn(list(new))
-        get = self.parts.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)) + last, np.uint32) for parts in split]
+        last, get, out = array("I", [end]).tobytes(), self.parts.__getitem__, []
+        for text in texts:
+            self.parts.trim(self.kept)
+            out.append(np.frombuffer(b"".join(map(get, (text or "").replace("\n", " ").split(" "))) + last, np.uint32))
+        return out
