@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from ..shipping import ship
 
 #: Bytes of text that one vectorised step works on; a longer text makes a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:

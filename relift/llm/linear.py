@@ -25,7 +25,7 @@ class Hashes(dict):
         self[word] = value = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         return value
 
-    def trim(self, most: int = 500_000) -> None:
+    def trim(self, most: int = 150_000) -> None:
         if len(self) > most:
             self.clear()
 

@@ -34,7 +34,7 @@ class Shapes(dict):
         self[word] = shape
         return shape
 
-    def trim(self, most: int = 500_000) -> None:
+    def trim(self, most: int = 150_000) -> None:
         if len(self) > most:
             self.clear()
 

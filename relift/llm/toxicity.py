@@ -193,7 +193,7 @@ def features_of(cost):
         first: dict[str, tuple[int, int]] = {}
 
         def rows(texts: list[str | None]) -> list[np.ndarray]:
-            if len(first) > 500_000:
+            if len(first) > 150_000:
                 first.clear()
             out = []
             for text in texts:
