@@ -11,6 +11,7 @@ Blocks are written to the shared folder: they are read more than once, and a los
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import map_rows, stored
+from .common import folder, map_rows, stored
 
 #: Bytes of text that close a block.
 BLOCK_BYTES = 4_000_000
@@ -40,10 +41,11 @@ def unpack(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def make_blocks(df: DataFrame, text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
+def make_blocks(df: DataFrame, text: str = "text", limit: int = BLOCK_BYTES, dealt: bool = False) -> DataFrame:
     """(block, payload) rows in the shared folder; a payload is an Arrow stream of whole rows of ``df``.
 
-    Long texts fill a block alone.
+    Long texts fill a block alone.  ``dealt`` deals them into buckets by block, which pays if replies
+    meet the blocks more than once.
     """
     at = df.columns.index(text)
 
@@ -68,7 +70,19 @@ def make_blocks(df: DataFrame, text: str = "text", limit: int = BLOCK_BYTES) ->
         if held:
             yield {"block": [number], "payload": [pack(held)]}
 
-    return stored(map_rows(df, work, "block long, payload binary"), "blocks")
+    return (bucketed if dealt else stored)(map_rows(df, work, "block long, payload binary"), "blocks")
+
+
+def bucketed(df: DataFrame, what: str) -> DataFrame:
+    """Write rows to the shared folder, dealt by block into as many buckets as the session has partitions.
+
+    Meeting replies by block then shuffles the replies only.
+    """
+    spark = df.sparkSession
+    name = f"relift_{what}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, "block").option("path", f"{folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def squeeze(*columns: np.ndarray) -> bytes:

@@ -2,19 +2,21 @@
 
 A byte goes if a string of ``MIN`` bytes that covers it also starts in a document with a smaller doc_id.
 
-1. Every window of ``MIN`` bytes has one anchor: the least hash of its 24-byte grams, the leftmost of
-   equals.  Equal windows have equal anchors, so only documents that share an anchor can share a window.
-   The windows of one anchor are neighbours; the stretch of text they cover is the anchor's run.
-2. Each block of documents names its anchors once, with a digest of the run (0 if it has several) and
-   the least doc_id.  An anchor that several blocks have with one and the same run settles its windows:
-   all of them start in the least doc_id of all.
+1. Every window of ``MIN`` bytes has one anchor: the least hash of its 16-byte grams, the leftmost of
+   equals.  Equal windows have equal anchors, so only documents that share an anchor can share a window;
+   they then also share the ``SIDE`` bytes to its left or to its right.  The windows of one anchor are
+   neighbours; the stretch of text they cover is the anchor's run.
+2. Each block of documents names its anchors once, with digests of the run and of both sides (0 if it
+   has several) and the least doc_id.  Blocks whose anchor agrees with no other's on a side are done with
+   it.  An anchor that the others have with one and the same run settles its windows: all of them start
+   in the least doc_id of all.
 3. The runs of the other shared anchors are put into one text a block.  Its suffixes are sorted, and
    intervals of the transform are expanded breadth first, one byte to the left a level, which finds the
    longest common prefixes of neighbours by increasing value; levels stop at ``MIN``, and places that no
    level has reached join suffixes which share ``MIN`` bytes or more.  So a block names each of these
    windows once, by digest, with its least doc_id, and hears the least of all blocks.
 
-Anchors are compared by 64 bits, runs by 32 more and windows by 64.
+Anchors are compared by 48 bits, their sides by 16 more, runs by 32 more, and windows by 64.
 
 Defined cases: NULL text is empty; windows never cross documents; rows with the same doc_id do not
 remove each other; a NULL doc_id counts as larger than all others, and such rows do not remove each
@@ -31,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import documents, map_rows, stored
-from .exchange import LAST, bucket_count, by_bucket, exchange, expand, groups, least_owner, make_blocks, meet, squeeze, unpack
+from .exchange import LAST, bucket_count, by_bucket, exchange, expand, groups, least_owner, make_blocks, meet, unpack
 
 #: Bytes of a repeated string; of an anchor's gram.
-MIN, GRAM = 50, 24
+MIN, GRAM = 50, 16
+#: Bytes beside an anchor, on one side at least, that equal windows share; bits of an anchor's key that are kept.
+SIDE, KEPT = (MIN - GRAM) // 2, ~np.uint64(0xFFFF)
 #: Bytes that one vectorised step works on, and the bits that a place in a step takes in an anchor's order.
 STEP, PLACE = 1_000_000, np.uint64(20)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -102,14 +106,15 @@ def window_least(x: np.ndarray, width: int) -> np.ndarray:
 class Anchors:
     """Anchors of one step: a byte array and the ends of its texts; no window crosses an end.
 
-    key, run digest, text's number, first window and one past the last, by place.
+    key, digests of the run and the sides, text's number, first window and one past the last, the gram's place.
     """
 
     def __init__(self, data: np.ndarray, ends: np.ndarray):
         n = len(data) - MIN + 1
         empty = np.zeros(0, np.int64)
-        self.key = self.run = np.zeros(0, np.uint64)
-        self.text = self.first = self.stop = empty
+        self.key = np.zeros(0, np.uint64)
+        self.run, self.sides = np.zeros(0, np.uint32), np.zeros((2, 0), np.uint16)
+        self.text = self.first = self.stop = self.place = empty
         if n < 1:
             return
         h = gram_hashes(data)
@@ -120,8 +125,16 @@ class Anchors:
         inside = np.arange(n) + MIN <= ends[np.minimum(text, len(ends) - 1)]
         starts = np.flatnonzero(inside & np.concatenate([[True], (place[1:] != place[:-1]) | ~inside[:-1]]))
         stops = np.flatnonzero(inside & np.concatenate([(place[1:] != place[:-1]) | ~inside[1:], [True]])) + 1
-        self.key, self.text, self.first, self.stop = h[place[starts]], text[starts], starts, stops
-        self.run = Prefix(data).digest(starts, stops + MIN - 1)
+        # keys are least hashes: mixed again, so that ranges of keys hold alike
+        at = place[starts]
+        self.key, self.text, self.first, self.stop = _mix(h[at] ^ np.uint64(BASE)) & KEPT, text[starts], starts, stops
+        self.place = at
+        made = Prefix(data)
+        self.run = (made.digest(starts, stops + MIN - 1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        # bytes of other texts may show at a text's ends, where only the other side can count
+        left, right = np.maximum(at - SIDE, 0), np.minimum(at + GRAM + SIDE, len(data))
+        sides = np.stack([made.digest(left, at), made.digest(at + GRAM, right)])
+        self.sides = (sides >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
 
 
 def steps(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -173,7 +186,7 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         key = key << np.uint64(9) | padded[k : k + n]
     known = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = new
@@ -199,7 +212,7 @@ def prefix_groups(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     # row 0 is the empty suffix, which the last symbol precedes; 0 stands before the whole text
     bwt = np.concatenate([data[-1:].astype(np.int64) + 1 if n else [0], np.where(order > 0, data[order - 1].astype(np.int64) + 1, 0)])
     step = np.empty(n + 1, np.int64)  # from a row to that of the suffix one symbol longer
-    step[np.argsort(bwt, kind="stable")] = np.arange(n + 1)
+    step[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n + 1)
     value = np.full(n + 2, -1)  # of rows i - 1 and i
     value[0] = value[n + 1] = 0
     low, high = np.array([0]), np.array([n + 1])
@@ -210,7 +223,7 @@ def prefix_groups(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
         inside = np.repeat(low - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         number = np.repeat(np.arange(len(low)), sizes)
         target = step[inside]
-        sort = np.argsort(target, kind="stable")
+        sort = np.argsort(target)
         target, number, symbol = target[sort], number[sort], bwt[inside[sort]]
         new = np.concatenate([[True], (number[1:] != number[:-1]) | (symbol[1:] != symbol[:-1])])
         first = np.flatnonzero(new)
@@ -222,6 +235,18 @@ def prefix_groups(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.cumsum(value[1 : n + 1] >= 0) - 1
 
 
+def _by_anchor(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(order by key, first places, for each column its value if a key has one, else 0)."""
+    order = np.argsort(key, kind="stable")
+    first = groups(key[order])
+    out = []
+    for c in columns:
+        c = c[order]
+        low, high = np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)
+        out.append(np.where(low == high, low, 0).astype(c.dtype))
+    return order, first, out
+
+
 def _anchor_rows(blocks: DataFrame, buckets: int) -> DataFrame:
     def work(batches) -> Iterator[dict]:
         for batch in batches:
@@ -230,30 +255,47 @@ def _anchor_rows(blocks: DataFrame, buckets: int) -> DataFrame:
                 parts = []
                 for data, ends, text, _ in steps(texts.raws):
                     a = Anchors(data, ends)
-                    parts.append((a.key, (a.run >> np.uint64(32)).astype(np.uint32) | np.uint32(1), texts.owner[text[a.text]]))
+                    parts.append((a.key, a.run, *a.sides, texts.owner[text[a.text]]))
                 if parts:
-                    key, run, owner = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    order = np.argsort(key, kind="stable")
-                    key, run, owner = key[order], run[order], owner[order]
-                    first = groups(key)
-                    if len(first):
-                        low, high = np.minimum.reduceat(run, first), np.maximum.reduceat(run, first)
-                        yield by_bucket(block, buckets, key[first], np.where(low == high, low, 0).astype(np.uint32), np.minimum.reduceat(owner, first))
+                    key, run, left, right, owner = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    if len(key):
+                        order, first, one = _by_anchor(key, run, left, right)
+                        yield by_bucket(block, buckets, key[order][first], *one, np.minimum.reduceat(owner[order], first))
 
     return map_rows(blocks, work, "block long, bucket int, blob binary")
 
 
-def _judge_anchors(key: np.ndarray, block: np.ndarray, run: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of anchors in several blocks: the run if it is one, else 0, and the least doc_id."""
+def _twice(key: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether another row has the same key and side; keys come sorted."""
+    order = np.lexsort((side, key))
+    k, x = key[order], side[order]
+    same = (k[1:] == k[:-1]) & (x[1:] == x[:-1])
+    out = np.zeros(len(key), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _judge_anchors(key: np.ndarray, block: np.ndarray, run: np.ndarray, left: np.ndarray, right: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of anchors that agree with another block's on a side: the run if it is one, else 0, the sides, and the least doc_id.
+
+    1 stands for the left side, 2 for the right.  Where a block has several sides for a key, all count.
+    """
+    if not len(key):
+        return np.zeros(0, np.int64), [run, left.astype(np.uint8), owner]
+    first = groups(key)
+    count = np.diff(np.append(first, len(key)))
+    several = np.maximum.reduceat((left == 0) | (right == 0), first)
+    sides = np.where(np.repeat(several, count), 3, _twice(key, left) + 2 * _twice(key, right)).astype(np.uint8)
+    rows = np.flatnonzero(np.repeat(count > 1, count) & (sides > 0))
+    key, run, owner, sides = key[rows], run[rows], owner[rows], sides[rows]
+    if not len(rows):
+        return rows, [run, sides, owner]
     first = groups(key)
-    if not len(first):
-        return first, [run, owner]
     count = np.diff(np.append(first, len(key)))
     low, high = np.minimum.reduceat(run, first), np.maximum.reduceat(run, first)
     one = np.repeat(np.where(low == high, low, 0), count).astype(np.uint32)
-    least = np.repeat(np.minimum.reduceat(owner, first), count)
-    rows = np.flatnonzero(np.repeat(count, count) > 1)
-    return rows, [one[rows], least[rows]]
+    return rows, [one, sides, np.repeat(np.minimum.reduceat(owner, first), count)]
 
 
 def _read(replies: list[bytes], *kinds: str) -> list[np.ndarray]:
@@ -272,21 +314,27 @@ def _look(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == keys
 
 
-def _first_pass(block: int, table: pa.Table, replies: list[bytes], buckets: int) -> dict[str, list]:
-    """Settled windows of a block as spans, and its other shared windows as keys and as places.
+class Doubts:
+    """What a block knows once it has heard of its anchors: settled spans, and runs of windows in doubt.
 
-    Rows of kind 0 are keys for the second exchange (with their bucket); the row of kind 1 is the state.
+    ``spans`` and ``runs`` have rows of text, start and end; ``pieces`` are the runs' bytes.
     """
-    texts = Texts(table)
-    known, run, least = _read(replies, "<u4", "<i8")
+
+    def __init__(self, table: pa.Table, replies: list[bytes]):
+        self.texts = Texts(table)
+        self.spans, self.runs, self.pieces = _settle(self.texts, replies)
+
+
+def _settle(texts: Texts, replies: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    known, run, told, least = _read(replies, "<u4", "<u1", "<i8")
     settled: list[list[np.ndarray]] = []  # text, start, end
     doubtful: list[tuple[np.ndarray, int, int]] = []  # bytes, text, place
     found = [(text, place, data, Anchors(data, ends), ends) for data, ends, text, place in steps(texts.raws)]
     # what the block itself knows of its anchors
     key = np.concatenate([a.key for *_, a, _ in found]) if found else np.zeros(0, np.uint64)
-    mine = np.concatenate([texts.owner[text[a.text]] for text, _, _, a, _ in found]) if found else key
-    runs = np.concatenate([(a.run >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for *_, a, _ in found]) if found else key
     if len(key):
+        mine = np.concatenate([texts.owner[text[a.text]] for text, _, _, a, _ in found])
+        runs, left, right = (np.concatenate(c) for c in zip(*((a.run, *a.sides) for *_, a, _ in found), strict=True))
         order = np.argsort(key, kind="stable")
         first = groups(key[order])
         count = np.diff(np.append(first, len(key)))
@@ -298,7 +346,11 @@ def _first_pass(block: int, table: pa.Table, replies: list[bytes], buckets: int)
             high = np.where(there, np.where(run[at] > 0, low, high), high)
             who = np.where(there, np.minimum(least[at], who), who)
         one = (low == high) & (low > 0)
-        shared = there | (who != last)
+        # within the block, texts have to agree on a side too
+        agree = _twice(key[order], left[order]) + 2 * _twice(key[order], right[order])
+        shared = there | (who != last) & (np.maximum.reduceat(agree, first) > 0)
+        sides = np.empty(len(key), np.uint8)
+        sides[order] = agree | np.repeat(np.where(there, told[at] if len(known) else 0, 0), count)
         # 1: settled, 2: doubtful
         state = np.empty(len(key), np.int8)
         owner = np.empty(len(key), np.int64)
@@ -314,32 +366,37 @@ def _first_pass(block: int, table: pa.Table, replies: list[bytes], buckets: int)
             # a text's copies with larger ids are dropped whole; its least owner is compared here
             over = (s == 1) & (w < texts.owner[whose])
             settled.append([whose[over], (a.first + shift)[over], (a.stop + MIN - 1 + shift)[over]])
-            for i in np.flatnonzero(s == 2).tolist():
-                doubtful.append((data[a.first[i] : a.stop[i] + MIN - 1], int(whose[i]), int(a.first[i] + shift[i])))
-    out: dict[str, list] = {"block": [], "kind": [], "bucket": [], "blob": []}
-    spans = [np.concatenate(c).astype(np.int64) for c in zip(*settled, strict=True)] if settled else [np.zeros(0, np.int64)] * 3
-    if doubtful:
-        # all their runs as one text, each followed by a symbol that no byte is
-        sizes = np.array([len(d) for d, _, _ in doubtful])
-        begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        joined = np.full(int((sizes + 1).sum()), 256, np.int64)
-        inner = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        joined[inner] = np.concatenate([d for d, _, _ in doubtful])
-        order, group = prefix_groups(joined, MIN)
-        run_of = np.repeat(np.arange(len(sizes)), sizes + 1)[order]
-        window = order - begin[run_of] + MIN <= sizes[run_of]
-        order, group, run_of = order[window], group[window], run_of[window]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        who = np.minimum.reduceat(texts.owner[np.array([t for _, t, _ in doubtful])[run_of]], first)
-        digest = window_digests(joined)[order[first]]
-        keys = by_bucket(block, buckets, digest, who)
-        out = {"block": keys["block"], "kind": [0] * len(keys["block"]), "bucket": keys["bucket"], "blob": keys["blob"]}
-    doubts = [np.array(c, np.int64) for c in zip(*((t, a, a + len(d)) for d, t, a in doubtful), strict=True)] if doubtful else [np.zeros(0, np.int64)] * 3
-    out["block"].append(block)
-    out["kind"].append(1)
-    out["bucket"].append(0)
-    out["blob"].append(squeeze(np.concatenate([[len(spans[0])], *spans, *doubts]).astype("<i8")))
-    return out
+            # of the others, windows that hold a whole side on which texts agree
+            on = sides[a0 - len(a.key) : a0]
+            middle = a.place - SIDE
+            low_ = np.where(on & 1, a.first, np.maximum(a.first, middle))
+            high_ = np.where(on & 2, a.stop, np.minimum(a.stop, middle + 1))
+            for i in np.flatnonzero((s == 2) & (low_ < high_)).tolist():
+                doubtful.append((data[low_[i] : high_[i] + MIN - 1], int(whose[i]), int(low_[i] + shift[i])))
+    none = np.zeros((0, 3), np.int64)
+    spans = np.stack([np.concatenate(c).astype(np.int64) for c in zip(*settled, strict=True)], 1) if settled else none
+    runs = np.array([(t, a, a + len(d)) for d, t, a in doubtful], np.int64) if doubtful else none
+    return spans, runs, [d for d, _, _ in doubtful]
+
+
+def _window_keys(block: int, table: pa.Table, replies: list[bytes], buckets: int) -> dict[str, list]:
+    """The distinct windows in doubt of a block, by digest, with their least doc_ids."""
+    found = Doubts(table, replies)
+    if not found.pieces:
+        return {"block": [], "bucket": [], "blob": []}
+    # all runs as one text, each followed by a symbol that no byte is
+    sizes = np.array([len(d) for d in found.pieces])
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    joined = np.full(int((sizes + 1).sum()), 256, np.int64)
+    inner = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    joined[inner] = np.concatenate(found.pieces)
+    order, group = prefix_groups(joined, MIN)
+    run_of = np.repeat(np.arange(len(sizes)), sizes + 1)[order]
+    window = order - begin[run_of] + MIN <= sizes[run_of]
+    order, group, run_of = order[window], group[window], run_of[window]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    who = np.minimum.reduceat(found.texts.owner[found.runs[run_of, 0]], first)
+    return by_bucket(block, buckets, window_digests(joined)[order[first]], who)
 
 
 def window_digests(symbols: np.ndarray) -> np.ndarray:
@@ -364,19 +421,15 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], ends[last]
 
 
-def _last_pass(table: pa.Table, replies: list[bytes], states: list[bytes]) -> Iterator[tuple[int | None, bytes, np.ndarray, np.ndarray]]:
+def _last_pass(table: pa.Table, replies: list[bytes], answers: list[bytes]) -> Iterator[tuple[int | None, bytes, np.ndarray, np.ndarray]]:
     """For each row: doc_id, bytes, and the starts and ends of what goes."""
-    texts = Texts(table)
-    spans, doubts = np.zeros((0, 3), np.int64), np.zeros((0, 3), np.int64)
-    for state in states:
-        (flat,) = expand(state, "<i8")
-        n = int(flat[0])
-        spans, doubts = flat[1 : 1 + 3 * n].reshape(3, -1).T, flat[1 + 3 * n :].reshape(3, -1).T
-    if len(doubts):
-        known, least = _read(replies, "<i8")
-        text, start, end = doubts.T
+    found = Doubts(table, replies)
+    texts, spans = found.texts, found.spans
+    if len(found.runs):
+        known, least = _read(answers, "<i8")
+        text, start, end = found.runs.T
         sizes = end - start
-        joined = np.frombuffer(b"".join(texts.raws[t][a:b] for t, a, b in doubts.tolist()), np.uint8).astype(np.int64)
+        joined = np.concatenate(found.pieces).astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         run_of = np.repeat(np.arange(len(sizes)), sizes - MIN + 1)
         offset = np.arange(len(run_of)) - np.repeat(np.concatenate([[0], np.cumsum(sizes - MIN + 1)[:-1]]), sizes - MIN + 1)
@@ -406,20 +459,19 @@ def _last_pass(table: pa.Table, replies: list[bytes], states: list[bytes]) -> It
 
 
 def _met(docs: DataFrame, work, schema) -> DataFrame:
-    blocks = make_blocks(docs)
+    blocks = make_blocks(docs, dealt=True)
     buckets = bucket_count(blocks)
-    heard = exchange(_anchor_rows(blocks, buckets), ("<u4", "<i8"), _judge_anchors, buckets)
-    first = stored(meet(blocks, heard, lambda block, table, replies, _: _first_pass(block, table, replies, buckets), "block long, kind int, bucket int, blob binary"), "windows")
-    answers = exchange(first.where("kind = 0").select("block", "bucket", "blob"), ("<i8",), least_owner, buckets)
-    return meet(blocks, answers, work, schema, first.where("kind = 1"))
+    heard = stored(exchange(_anchor_rows(blocks, buckets), ("<u4", "<u2", "<u2", "<i8"), _judge_anchors, buckets), "anchors")
+    keys = meet(blocks, heard, lambda block, table, replies, _: _window_keys(block, table, replies, buckets), "block long, bucket int, blob binary")
+    return meet(blocks, heard, work, schema, exchange(keys, ("<i8",), least_owner, buckets))
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the spans as an array of (start, end), one row a document."""
 
-    def work(block: int, table: pa.Table, replies: list[bytes], states: list[bytes]) -> dict:
+    def work(block: int, table: pa.Table, replies: list[bytes], answers: list[bytes]) -> dict:
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
-        for doc_id, raw, starts, ends in _last_pass(table, replies, states):
+        for doc_id, raw, starts, ends in _last_pass(table, replies, answers):
             kept = hashlib.sha256()
             for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(raw)], strict=True):
                 kept.update(raw[a:b])

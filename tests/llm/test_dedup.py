@@ -40,7 +40,7 @@ def brute_groups(rows, n=2):
 
 @pytest.mark.parametrize("limit", [3000, 10**7])
 def test_near_duplicates(spark, odd, odd_docs, monkeypatch, limit):
-    monkeypatch.setattr(neardup, "make_blocks", lambda df: make_blocks(df, limit=limit))
+    monkeypatch.setattr(neardup, "make_blocks", lambda df, **more: make_blocks(df, limit=limit, **more))
     want = brute_groups(odd)
     rows = neardup.near_duplicates(odd_docs).collect()
     sizes = collections.defaultdict(set)
@@ -125,7 +125,7 @@ def brute_repeats(rows):
 
 @pytest.mark.parametrize("limit", [3000, 10**7])
 def test_repeated_strings(spark, odd, odd_docs, monkeypatch, limit):
-    monkeypatch.setattr(suffix, "make_blocks", lambda df: make_blocks(df, limit=limit))
+    monkeypatch.setattr(suffix, "make_blocks", lambda df, **more: make_blocks(df, limit=limit, **more))
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removals(odd_docs).collect())
     assert got == brute_repeats(odd)
 
