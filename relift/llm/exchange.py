@@ -113,7 +113,7 @@ def ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def by_bucket(block: int, buckets: int, keys: np.ndarray, *columns: np.ndarray) -> dict[str, list]:
     """Rows (block, bucket, blob) of one block's distinct keys and their columns, by ascending key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, columns = keys[order], [c[order] for c in columns]
     at = ranges(keys, buckets)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]]) if len(at) else np.zeros(1, int)
@@ -140,7 +140,7 @@ def exchange(keys: DataFrame, kinds: tuple[str, ...], judge: Callable[..., tuple
         sizes = [len(p[0]) for p in parts]
         owner = np.repeat(np.arange(len(parts)), sizes)
         key, *columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rows, answers = judge(key[order], blocks[owner[order]], *(c[order] for c in columns))
         back = owner[order][rows]
         key = key[order][rows]

@@ -121,8 +121,9 @@ class Anchors:
         order = (h >> PLACE << PLACE) | np.arange(len(h), dtype=np.uint64)
         least = window_least(order, MIN - GRAM + 1)[:n]
         place = (least & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
-        text = np.searchsorted(ends, np.arange(n), "right")
-        inside = np.arange(n) + MIN <= ends[np.minimum(text, len(ends) - 1)]
+        lengths = np.diff(np.concatenate([[0], ends]))
+        text = np.repeat(np.arange(len(ends)), lengths)[:n]
+        inside = np.arange(MIN, n + MIN) <= np.repeat(ends, lengths)[:n]
         starts = np.flatnonzero(inside & np.concatenate([[True], (place[1:] != place[:-1]) | ~inside[:-1]]))
         stops = np.flatnonzero(inside & np.concatenate([(place[1:] != place[:-1]) | ~inside[1:], [True]])) + 1
         # keys are least hashes: mixed again, so that ranges of keys hold alike
@@ -237,7 +238,7 @@ def prefix_groups(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
 
 def _by_anchor(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(order by key, first places, for each column its value if a key has one, else 0)."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     first = groups(key[order])
     out = []
     for c in columns:
@@ -266,10 +267,10 @@ def _anchor_rows(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _twice(key: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Whether another row has the same key and side; keys come sorted."""
-    order = np.lexsort((side, key))
-    k, x = key[order], side[order]
-    same = (k[1:] == k[:-1]) & (x[1:] == x[:-1])
+    """Whether another row has the same key and side; the key's low bits are free for the side."""
+    both = key | side
+    order = np.argsort(both)
+    same = both[order][1:] == both[order][:-1]
     out = np.zeros(len(key), bool)
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
@@ -315,27 +316,51 @@ def _look(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Doubts:
-    """What a block knows once it has heard of its anchors: settled spans, and runs of windows in doubt.
+    """What a block knows once it has heard of its anchors: settled spans, and windows in doubt.
 
-    ``spans`` and ``runs`` have rows of text, start and end; ``pieces`` are the runs' bytes.
+    ``spans`` has rows of text, start and end.  ``joined`` are the stretches of text that the runs in
+    doubt cover, each followed by a symbol that no byte is; ``at`` are the places of the windows in
+    doubt there, ``text`` and ``start`` their places in the block's texts.
     """
 
     def __init__(self, table: pa.Table, replies: list[bytes]):
         self.texts = Texts(table)
-        self.spans, self.runs, self.pieces = _settle(self.texts, replies)
-
-
-def _settle(texts: Texts, replies: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        self.spans, runs = _settle(self.texts, replies)
+        raws = self.texts.raws
+        base = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raws])]).astype(np.int64)
+        every = np.frombuffer(b"\0".join(raws), np.uint8)
+        low, high = base[runs[:, 0]] + runs[:, 1], base[runs[:, 0]] + runs[:, 2]
+        a, b = merge(low, high)
+        sizes = b - a
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64) if len(a) else a
+        self.joined = np.full(int((sizes + 1).sum()), 256, np.int64)
+        step = np.arange(sizes.sum())
+        before = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(a) else a
+        self.joined[np.repeat(begin - before, sizes) + step] = every[np.repeat(a - before, sizes) + step]
+        stretch = np.searchsorted(a, low, "right") - 1
+        first = begin[stretch] + low - a[stretch] if len(a) else a
+        marks = np.zeros(len(self.joined) + 1, np.int64)
+        np.add.at(marks, first, 1)
+        np.add.at(marks, first + (high - low) - MIN + 1, -1)
+        self.at = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+        of = np.searchsorted(begin, self.at, "right") - 1
+        place = a[of] + self.at - begin[of] if len(a) else self.at
+        self.text = np.searchsorted(base, place, "right") - 1
+        self.start = place - base[self.text]
+
+
+def _settle(texts: Texts, replies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of text, start and end: spans that a smaller doc_id settles, and runs in doubt."""
     known, run, told, least = _read(replies, "<u4", "<u1", "<i8")
     settled: list[list[np.ndarray]] = []  # text, start, end
-    doubtful: list[tuple[np.ndarray, int, int]] = []  # bytes, text, place
+    doubtful: list[list[np.ndarray]] = []
     found = [(text, place, data, Anchors(data, ends), ends) for data, ends, text, place in steps(texts.raws)]
     # what the block itself knows of its anchors
     key = np.concatenate([a.key for *_, a, _ in found]) if found else np.zeros(0, np.uint64)
     if len(key):
         mine = np.concatenate([texts.owner[text[a.text]] for text, _, _, a, _ in found])
         runs, left, right = (np.concatenate(c) for c in zip(*((a.run, *a.sides) for *_, a, _ in found), strict=True))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         first = groups(key[order])
         count = np.diff(np.append(first, len(key)))
         low, high = np.minimum.reduceat(runs[order], first), np.maximum.reduceat(runs[order], first)
@@ -371,32 +396,24 @@ def _settle(texts: Texts, replies: list[bytes]) -> tuple[np.ndarray, np.ndarray,
             middle = a.place - SIDE
             low_ = np.where(on & 1, a.first, np.maximum(a.first, middle))
             high_ = np.where(on & 2, a.stop, np.minimum(a.stop, middle + 1))
-            for i in np.flatnonzero((s == 2) & (low_ < high_)).tolist():
-                doubtful.append((data[low_[i] : high_[i] + MIN - 1], int(whose[i]), int(low_[i] + shift[i])))
-    none = np.zeros((0, 3), np.int64)
-    spans = np.stack([np.concatenate(c).astype(np.int64) for c in zip(*settled, strict=True)], 1) if settled else none
-    runs = np.array([(t, a, a + len(d)) for d, t, a in doubtful], np.int64) if doubtful else none
-    return spans, runs, [d for d, _, _ in doubtful]
+            left_ = (s == 2) & (low_ < high_)
+            doubtful.append([whose[left_], (low_ + shift)[left_], (high_ + MIN - 1 + shift)[left_]])
+    spans, runs = (np.stack([np.concatenate(c).astype(np.int64) for c in zip(*x, strict=True)], 1) if x else np.zeros((0, 3), np.int64) for x in (settled, doubtful))
+    return spans, runs
 
 
 def _window_keys(block: int, table: pa.Table, replies: list[bytes], buckets: int) -> dict[str, list]:
     """The distinct windows in doubt of a block, by digest, with their least doc_ids."""
     found = Doubts(table, replies)
-    if not found.pieces:
+    if not len(found.at):
         return {"block": [], "bucket": [], "blob": []}
-    # all runs as one text, each followed by a symbol that no byte is
-    sizes = np.array([len(d) for d in found.pieces])
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    joined = np.full(int((sizes + 1).sum()), 256, np.int64)
-    inner = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    joined[inner] = np.concatenate(found.pieces)
-    order, group = prefix_groups(joined, MIN)
-    run_of = np.repeat(np.arange(len(sizes)), sizes + 1)[order]
-    window = order - begin[run_of] + MIN <= sizes[run_of]
-    order, group, run_of = order[window], group[window], run_of[window]
+    owner = np.full(len(found.joined), -1)
+    owner[found.at] = found.texts.owner[found.text]
+    order, group = prefix_groups(found.joined, MIN)
+    window = owner[order] >= 0
+    order, group = order[window], group[window]
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    who = np.minimum.reduceat(found.texts.owner[found.runs[run_of, 0]], first)
-    return by_bucket(block, buckets, window_digests(joined)[order[first]], who)
+    return by_bucket(block, buckets, window_digests(found.joined)[order[first]], np.minimum.reduceat(owner[order], first))
 
 
 def window_digests(symbols: np.ndarray) -> np.ndarray:
@@ -425,27 +442,20 @@ def _last_pass(table: pa.Table, replies: list[bytes], answers: list[bytes]) -> I
     """For each row: doc_id, bytes, and the starts and ends of what goes."""
     found = Doubts(table, replies)
     texts, spans = found.texts, found.spans
-    if len(found.runs):
+    if len(found.at):
         known, least = _read(answers, "<i8")
-        text, start, end = found.runs.T
-        sizes = end - start
-        joined = np.concatenate(found.pieces).astype(np.int64)
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        run_of = np.repeat(np.arange(len(sizes)), sizes - MIN + 1)
-        offset = np.arange(len(run_of)) - np.repeat(np.concatenate([[0], np.cumsum(sizes - MIN + 1)[:-1]]), sizes - MIN + 1)
-        digest = window_digests(joined)[begin[run_of] + offset]
+        digest = window_digests(found.joined)[found.at]
         # the least doc_id with the window in this block, then in all
-        order = np.argsort(digest, kind="stable")
+        order = np.argsort(digest)
         first = groups(digest[order])
-        mine = texts.owner[text[run_of]]
+        mine = texts.owner[found.text]
         who = np.empty(len(digest), np.int64)
         who[order] = np.repeat(np.minimum.reduceat(mine[order], first), np.diff(np.append(first, len(digest))))
         at, there = _look(digest, known)
         if len(known):
             who = np.where(there, np.minimum(who, least[at]), who)
         over = who < mine
-        a = (start[run_of] + offset)[over]
-        spans = np.concatenate([spans, np.stack([text[run_of][over], a, a + MIN], 1)])
+        spans = np.concatenate([spans, np.stack([found.text[over], found.start[over], found.start[over] + MIN], 1)])
     order = np.argsort(spans[:, 0], kind="stable")
     spans = spans[order]
     edges = np.searchsorted(spans[:, 0], np.arange(len(texts.raws) + 1))
