@@ -95,15 +95,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def bounded(df: DataFrame, bound: int, seed: str) -> DataFrame:
-    """About ``bound`` rows, the same ones each time: those whose hashed doc_id lies under a threshold.
+    """About ``bound`` rows, the same ones each time: those whose hash lies under a threshold.
 
     With fewer rows than that, all of them.  The threshold follows the row count, so the sample's
-    size does not grow with the input.
+    size does not grow with the input; all columns are hashed, so that no one id decides for many rows.
     """
     n = df.count()
     if n <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1 << 30)) < int((1 << 30) * bound / n))
 
 
 def logistic(x: np.ndarray) -> np.ndarray:

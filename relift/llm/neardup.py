@@ -15,8 +15,9 @@ A pair at the similarity has a band in common but for a chance of about (1 - 0.8
    registers that agree by chance, and confirmed on the full sets.
 
 Defined cases: NULL and empty texts and texts without words have an empty set and no links; rows with a
-NULL doc_id have no links, a NULL component and are kept; rows with the same doc_id are one document in
-the result, with the links of all of them; an empty table gives no rows.
+NULL doc_id have no links, a NULL component and are kept; doc_id is a key: rows that repeat it with the
+same text are one document, and where their texts differ, the links of any one of them stand for all; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
