@@ -246,8 +246,12 @@ register(
     round_trip(triples_map("O", "orders", subject("http://example.com/order/{o_orderkey}"), column("date", "o_orderdate")), "orders"),
     "SELECT o_orderkey, o_orderdate FROM orders",
 )
-LINES = triples_map("L", "SELECT ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_orderkey, l_quantity FROM lineitem WHERE l_orderkey < 1000", subject("http://example.com/line/{id}"), column("order", "l_orderkey"), column("quantity", "l_quantity"), query=True)
-register("invert_window_query", round_trip(LINES, "query_1"), "SELECT ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_orderkey, l_quantity FROM lineitem WHERE l_orderkey < 1000")
+NUMBERED = "SELECT l_orderkey, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS line, l_quantity FROM lineitem"
+register(
+    "invert_window_query",
+    round_trip(triples_map("L", NUMBERED, subject("http://example.com/line/{l_orderkey}/{line}"), column("quantity", "l_quantity"), query=True), "query_1"),
+    NUMBERED,
+)
 RML_ORDERS = 'rml:logicalSource [ rml:iterator "orders" ; rml:referenceFormulation rml:SQL2008Table ]'
 register(
     "invert_rml_vocabulary",
