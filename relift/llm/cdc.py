@@ -1,7 +1,8 @@
 """Substring de-duplication by content-defined chunking.
 
 A gear hash rolls over the text's bytes; a chunk ends at a blank where the hash's high bits are zero,
-so boundaries depend on the bytes just before and find themselves again after an insertion.  Chunks are
+and where the last ``SIGHT`` bytes have no blank, after any character where more of them are.  So boundaries
+depend on the bytes just before and find themselves again after an insertion, in unspaced text too.  Chunks are
 compared by digest over all documents.  A chunk goes from a document if a document with a smaller doc_id
 has it, and if it lies in a run of such chunks of at least ``MIN_RUN`` bytes: a short chunk alone may be
 chance, and a repeated passage always has such a run.
@@ -26,6 +27,8 @@ from .exchange import LAST, bucket_count, by_bucket, exchange, expand, least_own
 
 #: Bytes of a chunk, least and most; one blank in ``ONE_IN`` ends a chunk; bytes of a removed run at least.
 MIN_CHUNK, MAX_CHUNK, ONE_IN, MIN_RUN = 16, 192, 4, 100
+#: Bytes that the gear hash sees; where they have no blank, one character in ``ONE_CHARACTER_IN`` ends a chunk.
+SIGHT, ONE_CHARACTER_IN = 32, 8
 #: Bytes that one vectorised step works on.
 STEP = 1_000_000
 
@@ -50,26 +53,48 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _places(raw: bytes, one_in: int) -> list[int]:
+    """Where chunks may end: after chosen blanks, and after chosen characters with no blank in sight."""
+    data, places = np.frombuffer(raw, np.uint8), []
+    for a in range(0, len(raw), STEP):
+        lead = min(a, SIGHT - 1)
+        part = data[a - lead : a + STEP]
+        h = gear_hash(part)
+        blank = (part == 32) | (part - np.uint8(9) < 5)
+        found = np.flatnonzero(blank & (h < (1 << 32) // one_in))
+        edges = np.concatenate([[-1], np.flatnonzero(blank), [len(part)]])
+        if (np.diff(edges) > SIGHT).any():
+            after = np.append(part[1:], data[a + STEP] if a + STEP < len(raw) else np.uint8(0))
+            more = np.flatnonzero(~blank & (h < (1 << 32) // ONE_CHARACTER_IN) & (after & 0xC0 != 0x80))
+            far = more - edges[np.searchsorted(edges, more) - 1] >= SIGHT
+            found = np.sort(np.concatenate([found, more[far]]))
+        places.append(found[found >= lead] + (a - lead + 1))
+    return np.concatenate(places).tolist() if places else []
+
+
+def _forced(raw: bytes, last: int, least: int, most: int) -> int:
+    """The end of a chunk without a boundary: the whole character of the least hash, the last such.
+
+    It depends on the bytes, not on where the chunk began, so that these ends find themselves again too.
+    """
+    lead = min(last, SIGHT - 1)
+    part = np.frombuffer(raw, np.uint8, most + lead + 1, last - lead)
+    h = gear_hash(part[:-1])[lead:].astype(np.int64)
+    h[(part[lead + 1 :] & 0xC0) == 0x80] = 1 << 32
+    h[: least - 1] += 1 << 33
+    return last + most - int(np.argmin(h[::-1]))
+
+
 def cut(raw: bytes, least: int = MIN_CHUNK, most: int = MAX_CHUNK, one_in: int = ONE_IN) -> list[int]:
     """Ends of the chunks of a text's UTF-8 bytes.
 
-    A chunk of ``most`` bytes without a boundary ends at the last whole character.
+    Only a stretch of ``most`` bytes without a boundary is cut elsewhere, where its hash is least.
     """
-    data, ends, last = np.frombuffer(raw, np.uint8), [], 0
-    places = []
-    for a in range(0, len(raw), STEP):
-        lead = min(a, 31)
-        part = data[a - lead : a + STEP]
-        h = gear_hash(part)[lead:]
-        blank = part[lead:]
-        places.append(np.flatnonzero(((blank == 32) | (blank == 10)) & (h < (1 << 32) // one_in)) + a + 1)
-    for end in (np.concatenate(places).tolist() if places else []) + [len(raw)]:
+    ends, last = [], 0
+    for end in [*_places(raw, one_in), len(raw)]:
         while end - last > most:
-            stop = last + most
-            while stop > last + 1 and raw[stop] & 0xC0 == 0x80:
-                stop -= 1
-            ends.append(stop)
-            last = stop
+            last = _forced(raw, last, least, most)
+            ends.append(last)
         if end - last >= least or end == len(raw):
             if end > last:
                 ends.append(end)

@@ -163,6 +163,35 @@ def test_chunks_find_themselves_again():
     assert all(accents[x : x + 1] != b"\xa9" for x in cdc.cut(accents)[:-1]) and cdc.cut(b"") == []
 
 
+@pytest.mark.parametrize("kind", ["han", "tabs", "nbsp", "encoded"])
+def test_chunks_of_unspaced_text_find_themselves_again(kind):
+    rng = random.Random(7)
+    make = {
+        "han": lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n)),
+        "tabs": lambda n: prose(rng, n // 2).replace(" ", "\t"),
+        "nbsp": lambda n: prose(rng, n // 2).replace(" ", "\xa0"),
+        "encoded": lambda n: "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=3 * n)),
+    }[kind]
+    shared = 0
+    for _ in range(30):
+        passage, found = make(400), []
+        for _ in range(2):
+            raw = (make(rng.randint(1, 200)) + passage + make(100)).encode()
+            ends = cdc.cut(raw)
+            assert ends[-1] == len(raw) and all(b - a <= cdc.MAX_CHUNK for a, b in zip([0, *ends], ends, strict=False))
+            found.append({raw[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)})
+        shared += sum(len(c.encode()) for c in found[0] & found[1] if c in passage) >= 0.7 * len(passage.encode())
+    assert shared >= 28
+
+
+def test_steps_do_not_move_boundaries(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("日本語テスト ab", [9, 9, 9, 9, 9, 9, 1, 5, 5], k=2000)), prose(rng, 500), "é" * 3000]
+    want = [cdc.cut(t.encode()) for t in texts]
+    monkeypatch.setattr(cdc, "STEP", 101)
+    assert [cdc.cut(t.encode()) for t in texts] == want
+
+
 def test_gear_hash_is_rolling():
     data = np.frombuffer(prose(random.Random(1), 50).encode(), np.uint8)
     h, want = 0, []
