@@ -4,8 +4,10 @@ A gear hash rolls over the text's bytes; a chunk ends at a blank where the hash'
 and where the last ``SIGHT`` bytes have no blank, after any character where more of them are.  So boundaries
 depend on the bytes just before and find themselves again after an insertion, in unspaced text too.  Chunks are
 compared by digest over all documents.  A chunk goes from a document if a document with a smaller doc_id
-has it, and if it lies in a run of such chunks of at least ``MIN_RUN`` bytes: a short chunk alone may be
-chance, and a repeated passage always has such a run.
+has it, and if it lies in a run of such chunks of at least ``MIN_RUN`` bytes or ``MIN_WORDS`` words: a short
+chunk alone may be chance.  A run is of whole chunks, so the parts of a passage before its first and after its
+last common boundary stay, and a passage whose run is shorter than both bounds stays whole.  A text that equals
+the whole text of a smaller doc_id goes whatever its length.
 
 Defined cases: NULL texts stay NULL and empty ones empty; chunks that repeat only within a document
 stay; rows with the same doc_id do not remove each other; a NULL doc_id counts as larger than all
@@ -27,6 +29,8 @@ from .exchange import LAST, bucket_count, by_bucket, exchange, expand, least_own
 
 #: Bytes of a chunk, least and most; one blank in ``ONE_IN`` ends a chunk; bytes of a removed run at least.
 MIN_CHUNK, MAX_CHUNK, ONE_IN, MIN_RUN = 16, 192, 4, 100
+#: Words that make a run, however few bytes they have.
+MIN_WORDS = 16
 #: Bytes that the gear hash sees; where they have no blank, one character in ``ONE_CHARACTER_IN`` ends a chunk.
 SIGHT, ONE_CHARACTER_IN = 32, 8
 #: Bytes that one vectorised step works on.
@@ -103,12 +107,15 @@ def cut(raw: bytes, least: int = MIN_CHUNK, most: int = MAX_CHUNK, one_in: int =
 
 
 def digests(raw: bytes, ends: list[int]) -> np.ndarray:
+    """The chunks' digests and, of a text too short to make a run, the whole text's in the end."""
     import xxhash
 
     h, a, out = xxhash.xxh3_64_intdigest, 0, []
     for b in ends:
         out.append(h(raw[a:b]))
         a = b
+    if 0 < len(raw) < MIN_RUN:
+        out.append(h(raw, 1))  # its own seed: it meets whole texts only
     return np.array(out, np.uint64)
 
 
@@ -137,14 +144,16 @@ def _keys(blocks: DataFrame, buckets: int) -> DataFrame:
     return map_rows(blocks, work, "block long, bucket int, blob binary")
 
 
-def removed_runs(owner: int, ends: list[int], least: np.ndarray, shortest: int = MIN_RUN) -> list[tuple[int, int, int]]:
-    """(start, end, least doc_id there) of runs of chunks that a smaller doc_id has."""
+def removed_runs(owner: int, raw: bytes, ends: list[int], least: np.ndarray, shortest: int = MIN_RUN, words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(start, end, least doc_id there) of what goes; ``least`` has the least doc_id of each of :func:`digests`."""
+    if len(least) > len(ends) and least[-1] < owner:
+        return [(0, len(raw), int(least[-1]))]
     out, a, run, who = [], 0, None, LAST
-    for end, first in zip([*ends, 0], [*least.tolist(), LAST], strict=True):
+    for end, first in zip([*ends, 0], [*least[: len(ends)].tolist(), LAST], strict=True):
         if first < owner:
             run, who = (a if run is None else run), min(who, first)
         elif run is not None:
-            if a - run >= shortest:
+            if a - run >= shortest or len(raw[run:a].split()) >= words:
                 out.append((run, a, who))
             run, who = None, LAST
         a = end
@@ -170,7 +179,7 @@ def _apply(table: pa.Table, replies: list[bytes]) -> Iterator[tuple[bytes, list[
         least = np.where(shared[at] == key, np.minimum(least, owner[at]), least)
     a = 0
     for who, (raw, ends, d) in zip(owners, rows, strict=True):
-        yield raw, removed_runs(who, ends, least[a : a + len(d)])
+        yield raw, removed_runs(who, raw, ends, least[a : a + len(d)])
         a += len(d)
 
 

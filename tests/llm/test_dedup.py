@@ -247,6 +247,21 @@ def test_repeated_chunks(spark, odd, odd_docs):
     assert sorted(r.doc_id for r in rows if r.text is None and r.doc_id) == [400]
 
 
+def test_short_words_and_short_copies(spark, monkeypatch):
+    rng = random.Random(13)
+    short = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 3))) for _ in range(n))
+    passages = [short(51) for _ in range(40)]
+    rows = [(i, short(30) + " " + p + " " + short(30)) for i, p in enumerate(passages)]
+    rows += [(100 + i, short(25) + " " + p + " " + short(40)) for i, p in enumerate(passages)]
+    rows += [(200, "A short text."), (201, "A short text."), (202, "A short text. And more"), (203, "x"), (204, "x"), (204, "x"), (None, "x"), (205, "")]
+    monkeypatch.setattr(cdc, "make_blocks", lambda df, **more: make_blocks(df, limit=500, **more))
+    got = cdc.removed(frame(spark, rows).repartition(3)).collect()
+    assert len({r.doc_id for r in got if r.doc_id in range(100, 140)}) >= 36
+    assert sorted((r.doc_id or 0, r.start, r.end, r.first_doc_id) for r in got if r.doc_id is None or r.doc_id >= 200) == [(0, 0, 1, 203), (201, 0, 13, 200), (204, 0, 1, 203), (204, 0, 1, 203)]
+    kept = {r.doc_id: r.text for r in cdc.deduplicated(frame(spark, rows)).collect()}
+    assert (kept[200], kept[201], kept[202], kept[203], kept[None]) == ("A short text.", "", "A short text. And more", "x", "")
+
+
 def test_empty(no_docs):
     for run in (neardup.near_duplicates, neardup.deduplicated, suffix.removals, cdc.removed, cdc.deduplicated):
         assert run(no_docs).count() == 0
