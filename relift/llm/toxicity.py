@@ -1,10 +1,12 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A writer hides a word by look-alike signs, by separators between its letters and by repeated
-letters.  Places where this may be so (a sign followed by a letter, a letter thrice, single letters
+letters.  Places where this may be so (a sign beside a letter, a letter thrice, single letters
 apart) are found over whole texts by array operations.  Each such token becomes a lattice: what
 every character may stand for, whether it may be skipped, each with a channel cost.  The cheapest
-path under a character trigram model of the corpus is the restored token.  The restored text is then
+path under a character trigram model of the corpus is the restored token.  Elsewhere only repeated
+letters are in question; their cheapest paths do not depend on each other and come from array
+operations too.  ``!`` and ``*`` after a word are punctuation.  The restored text is then
 scored by a linear model over its words and their beginnings.
 
 The trigram model counts all letters of all documents.  Defined cases: NULL and empty texts have no
@@ -48,14 +50,20 @@ def _tables() -> tuple[np.ndarray, ...]:
 
 
 SYMBOLS, IS_LETTER, IS_SIGN, IS_SEPARATOR = _tables()
+#: Signs that are letters after a word too.
+ENDING = "$@+€£|("
+IS_OPEN = np.isin(np.arange(TABLE), [ord(c) for c in "!*"])
 #: Signs that end sentences or set words apart, where they follow a letter.
 IS_PUNCTUATION = np.isin(np.arange(TABLE), [ord(c) for c in "!|(+*"])
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def points(text: str) -> np.ndarray:
     """Code points, those beyond the table as its last entry, which is a letter."""
-    found = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.minimum(found, TABLE - 1).astype(np.int64)
+    return np.minimum(code_points(text), TABLE - 1).astype(np.int64)
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -90,7 +98,7 @@ class Restorer:
     """``text(s)`` is ``s`` in lower case, suspicious tokens replaced by the cheapest reading."""
 
     def __init__(self, cost: np.ndarray):
-        self.cost, self.known = cost.tolist(), {}
+        self.array, self.cost, self.known = cost, cost.tolist(), {}
 
     def text(self, text: str) -> str:
         low = text.lower()
@@ -98,21 +106,39 @@ class Restorer:
         if len(p) != len(low) or not len(p):
             return low
         letter, sign = IS_LETTER[p], IS_SIGN[p]
-        hits = np.flatnonzero(sign[:-1] & letter[1:])
-        same = (p[2:] == p[1:-1]) & (p[1:-1] == p[:-2]) & letter[2:]
-        hits = np.concatenate([hits, np.flatnonzero(same)])
-        spans = self._spans(low, hits.tolist()) if len(hits) else []
+        hits = np.flatnonzero(sign[:-1] & letter[1:] | letter[:-1] & (sign & ~IS_OPEN[p])[1:])
+        real = code_points(low)
+        again = (real[1:] == real[:-1]) & letter[1:]
+        hits = np.concatenate([hits, np.flatnonzero(again[1:] & again[:-1])])
+        spans = [(a, b, None) for a, b in self._spans(low, hits.tolist())] if len(hits) else []
         after_letter = np.concatenate([[False], letter[:-1]])
-        spans += self._spaced(p, letter | sign & ~(IS_PUNCTUATION[p] & after_letter))
+        spans += [(a, b, None) for a, b in self._spaced(p, letter | sign & ~(IS_PUNCTUATION[p] & after_letter))]
+        if again.any():
+            spans += self._repeats(low, SYMBOLS[p], again)
         if not spans:
             return low
         out, last = [], 0
-        for a, b in sorted(spans):
+        for a, b, to in sorted(spans, key=lambda s: (s[0], -s[1])):
             if a >= last:
-                out += [low[last:a], self.token(low[a:b])]
+                out += [low[last:a], self.token(low[a:b]) if to is None else to]
                 last = b
         return "".join([*out, low[last:]])
 
+    def _repeats(self, low: str, symbol: np.ndarray, again: np.ndarray) -> list[tuple[int, int, str]]:
+        """Runs of one letter that are cheaper with fewer of it: start, end, what to write.
+
+        The lattice's costs of a run depend on the symbols beside it only.
+        """
+        edge = np.diff(np.concatenate([[0], again.view(np.int8), [0]]))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+        more = np.concatenate([[0], symbol, [0]])
+        b, c, d, m = more[start], symbol[start], more[end + 1], end - start
+        two = self.array[b, c, c] + self.array[c, c, d]
+        price = np.stack([two + (m - 2) * self.array[c, c, c], two + (m - 2) * DROP_REPEAT, self.array[b, c, d] + (m - 1) * DROP_REPEAT])
+        keep = np.choose(price.argmin(0), [m, 2, 1])
+        some = np.flatnonzero(keep < m)
+        return [(i, j, low[i] * k) for i, j, k in zip(start[some].tolist(), end[some].tolist(), keep[some].tolist(), strict=True)]
+
     @staticmethod
     def _spans(low: str, hits: list[int]) -> list[tuple[int, int]]:
         found, end = [], -1
@@ -128,8 +154,9 @@ class Restorer:
             end = b
             while b > a and not low[b - 1].isalnum():  # signs at the end are punctuation
                 b -= 1
-            if low[b : b + 3].rstrip() in ("$", "$$", "@"):  # but for one or two that look like letters
-                b += len(low[b : b + 3].rstrip())
+            tail = low[b : b + 3].rstrip()
+            if 0 < len(tail) < 3 and all(c in ENDING for c in tail):  # but for one or two that look like letters
+                b += len(tail)
             if 2 < b - a <= 40:
                 found.append((a, b))
         return found

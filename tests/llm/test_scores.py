@@ -102,6 +102,21 @@ def test_restored(spark):
         assert restorer.text(same) == same.lower()
 
 
+@pytest.fixture(scope="module")
+def restorer(spark):
+    text = "the idiot clown is a stupid moron and pathetic trash scum loser disgusting worthless good " * 20
+    return toxicity.Restorer(toxicity.costs(toxicity.trigram_counts(frame(spark, [(1, text)]))))
+
+
+def test_doubled_letters_and_signs_at_a_words_end(restorer):
+    for hidden, plain in {"stuupid": "stupid", "morron": "moron", "a iidiot, so": "a idiot, so", "idio7": "idiot", "idio+": "idiot", "the good worthless": "the good worthless", "gooood": "good"}.items():
+        assert restorer.text(hidden) == plain
+    rng = random.Random(14)
+    for _ in range(300):
+        token = "".join(c * rng.choice([1, 1, 2, 2, 4]) for c in rng.choice(["idiot", "stupid", "worthless", "good", "zebra", "aab"]))
+        assert restorer.text(token) == restorer.decode(token), token
+
+
 def test_languages(spark, odd, odd_docs, no_docs):
     rng = random.Random(3)
     make = {"aa": lambda: " ".join(rng.choices("bana kola tima rova".split(), k=30)), "bb": lambda: " ".join(rng.choices("sprüx greft knorz wölk".split(), k=30)), "ru": lambda: " ".join(rng.choices("привет мир дом вода".split(), k=30))}
