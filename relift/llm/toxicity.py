@@ -50,6 +50,8 @@ def _tables() -> tuple[np.ndarray, ...]:
 
 
 SYMBOLS, IS_LETTER, IS_SIGN, IS_SEPARATOR = _tables()
+#: Characters of a token whose reading is remembered, at most.
+LONG = 40
 #: Signs that are letters after a word too.
 ENDING = "$@+€£|("
 IS_OPEN = np.isin(np.arange(TABLE), [ord(c) for c in "!*"])
@@ -157,7 +159,7 @@ class Restorer:
             tail = low[b : b + 3].rstrip()
             if 0 < len(tail) < 3 and all(c in ENDING for c in tail):  # but for one or two that look like letters
                 b += len(tail)
-            if 2 < b - a <= 40:
+            if 2 < b - a:
                 found.append((a, b))
         return found
 
@@ -184,6 +186,8 @@ class Restorer:
         return found
 
     def token(self, token: str) -> str:
+        if len(token) > LONG:
+            return self.decode(token)
         if token not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
@@ -193,11 +197,11 @@ class Restorer:
     def decode(self, token: str) -> str:
         """Viterbi over the lattice; a state is the last two symbols and the last written character."""
         cost = self.cost
-        best: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        best: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}  # what was written, last first
         for c in token:
             arcs = [(x, READ) for x in LEET.get(c, "")]
             arcs.append((c, 0.0 if c.isalpha() else KEEP_SIGN))
-            new: dict[tuple[int, int, str], tuple[float, str]] = {}
+            new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             for (a, b, last), (so_far, out) in best.items():
                 skip = DROP_REPEAT if last and (c == last or last in LEET.get(c, "")) else DROP_SEPARATOR if c in SEPARATORS else None
                 if skip is not None:
@@ -207,9 +211,13 @@ class Restorer:
                     s = SYMBOL.get(x, 1 if x.isalpha() else 0)
                     total = so_far + channel + cost[a][b][s]
                     if (key := (b, s, x)) not in new or total < new[key][0]:
-                        new[key] = (total, out + x)
+                        new[key] = (total, (x, out))
             best = new
-        return min(((total + cost[a][b][0], out) for (a, b, _), (total, out) in best.items()))[1]
+        out, found = min(((total + cost[a][b][0], out) for (a, b, _), (total, out) in best.items()), key=lambda x: x[0])[1], []
+        while out is not None:
+            found.append(out[0])
+            out = out[1]
+        return "".join(reversed(found))
 
 
 def features_of(cost):

@@ -117,6 +117,11 @@ def test_doubled_letters_and_signs_at_a_words_end(restorer):
         assert restorer.text(token) == restorer.decode(token), token
 
 
+def test_long_tokens(restorer):
+    assert restorer.text("$ttt" + 40 * "u" + "pid") == restorer.text("sttt" + 5000 * "u" + "pid") == "stupid"
+    assert restorer.text("1d10t" + 40 * "!" + "s") != "1d10t" + 40 * "!" + "s"
+
+
 def test_languages(spark, odd, odd_docs, no_docs):
     rng = random.Random(3)
     make = {"aa": lambda: " ".join(rng.choices("bana kola tima rova".split(), k=30)), "bb": lambda: " ".join(rng.choices("sprüx greft knorz wölk".split(), k=30)), "ru": lambda: " ".join(rng.choices("привет мир дом вода".split(), k=30))}
