@@ -3,7 +3,8 @@
 A writer hides a word by look-alike signs, by separators between its letters and by repeated
 letters.  Places where this may be so (a sign beside a letter, a letter thrice, single letters
 apart) are found over whole texts by array operations.  Each such token becomes a lattice: what
-every character may stand for, whether it may be skipped, each with a channel cost.  The cheapest
+every character may stand for, whether it may be skipped, each with a channel cost, and whether a word
+ends at a separator, which costs what the character model says.  The cheapest
 path under a character trigram model of the corpus is the restored token.  Elsewhere only repeated
 letters are in question; their cheapest paths do not depend on each other and come from array
 operations too.  ``!`` and ``*`` after a word are punctuation.  The restored text is then
@@ -207,6 +208,10 @@ class Restorer:
                 if skip is not None:
                     if (key := (a, b, last)) not in new or so_far + skip < new[key][0]:
                         new[key] = (so_far + skip, out)
+                if last and c in SEPARATORS:  # a word ends here
+                    total = so_far + cost[a][b][0]
+                    if (key := (b, 0, "")) not in new or total < new[key][0]:
+                        new[key] = (total, (" ", out))
                 for x, channel in arcs:
                     s = SYMBOL.get(x, 1 if x.isalpha() else 0)
                     total = so_far + channel + cost[a][b][s]

@@ -122,6 +122,11 @@ def test_long_tokens(restorer):
     assert restorer.text("1d10t" + 40 * "!" + "s") != "1d10t" + 40 * "!" + "s"
 
 
+def test_words_end_inside_chains(restorer):
+    for hidden, plain in {"a s t u p i d": "a stupid", "i d i o t s c u m": "idiot scum", "l.0.s.e.r.m.o.r.o.n": "loser moron", "s t u p i d": "stupid", "$tupid-m0ron": "stupid moron"}.items():
+        assert restorer.text(hidden) == plain
+
+
 def test_languages(spark, odd, odd_docs, no_docs):
     rng = random.Random(3)
     make = {"aa": lambda: " ".join(rng.choices("bana kola tima rova".split(), k=30)), "bb": lambda: " ".join(rng.choices("sprüx greft knorz wölk".split(), k=30)), "ru": lambda: " ".join(rng.choices("привет мир дом вода".split(), k=30))}
