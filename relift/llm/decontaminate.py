@@ -8,7 +8,9 @@ A class's items are numbered by length and cut into ranges; a term's greatest im
 passage can score there.  These block-max sums are taken for all windows of a batch by array operations,
 and end most passages; the rest run block-max WAND over the posting lists.
 Retrieved items are then verified: the passage must hold most of the word shingles of the item's
-question, and of its answer (its last sentence; both are the whole, if it has one sentence only).
+question, and of its answer (its last sentence; both are the whole, if it has one sentence only).  One changed
+word takes most shingles of a short part; so a passage with most shingles of the whole item is a leak too if it
+lacks one word of the item at most, or a fifth of the words of its shorter part, and no part wholly.
 
 Items are indexed in blocks of bounded size, with document frequencies and lengths of the whole
 benchmark; texts are probed by one block after another and never shuffled.
@@ -73,6 +75,15 @@ def overlap(part: list[str], passage: list[str]) -> float:
     return len(own & shingles(passage, n)) / len(own)
 
 
+def nearly_whole(question: list[str], answer: list[str], passage: list[str], share: float) -> bool:
+    """Whether a passage has the item but for a few words, whichever part they are in."""
+    whole = question if question is answer else question + answer
+    few, held = max(1, min(len(question), len(answer)) // 5), Counter(passage)
+    if (Counter(whole) - held).total() > few or overlap(whole, passage) < share:
+        return False
+    return question is answer or all((Counter(p) - (held - Counter(o))).total() < len(p) for p, o in ((question, answer), (answer, question)))
+
+
 class Index:
     """One length class of a block: postings ordered by item, with block maxima of normalised impacts."""
 
@@ -199,7 +210,8 @@ class Index:
                 passage = split[text][first : first + 2 * wide]
                 question, answer = (overlap(p, passage) for p in self.parts[item])
                 key = (self.ids[item], item, self.longest)
-                if question >= share and answer >= share and out[text].get(key, (0.0,))[0] < score:
+                leaked = min(question, answer) >= share or nearly_whole(*self.parts[item], passage, share)
+                if leaked and out[text].get(key, (0.0,))[0] < score:
                     out[text][key] = (float(score), question, answer, first)
 
 

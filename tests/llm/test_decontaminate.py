@@ -69,6 +69,21 @@ def test_leaks(spark, odd, items):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(i for i, t in rows if i not in {r.doc_id for r in got} or (i, t) == (1101, None))
 
 
+def test_a_changed_word_in_a_short_part(spark):
+    rng = random.Random(15)
+    items = [(i, prose(rng, 40) + ". " + prose(rng, n) + ".") for i, n in enumerate((1, 2, 3, 5, 8, 8))]
+    rows = []
+    for i, text in items:
+        words = text.split()
+        rows += [(100 * i + k, prose(rng, 9) + " " + " ".join([*words[:k], "changed", *words[k + 1 :]])) for k in range(len(words))]
+    rows += [(1000 + i, text.rsplit(". ", 1)[0]) for i, text in items]  # no answer
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    whole = {i: d.tokens(t) for i, t in items}
+    assert len(d.parts(items[0][1])[0]) == 40  # so 40 has no answer either
+    near = {(k, k // 100) for k, t in rows if k < 1000 and k != 40 and d.overlap(whole[k // 100], d.tokens(t)) >= d.OVERLAP}
+    assert near <= got and len(near) > 200 and not any(k >= 1000 for k, _ in got)
+
+
 def test_blocks(spark, items, monkeypatch):
     docs = frame(spark, [(i, t) for i, t in items[:10]])
     table = spark.createDataFrame(items + [(500, prose(random.Random(1), 300))], "item_id long, text string")
