@@ -3,24 +3,26 @@
 A byte goes if a string of ``MIN`` bytes that covers it also starts in a document with a smaller doc_id.
 
 1. Every window of ``MIN`` bytes has one anchor: the least hash of its 16-byte grams, the leftmost of
-   equals.  Equal windows have equal anchors, so only documents that share an anchor can share a window;
+   equals.  Equal windows have equal anchors, so only texts that share an anchor can share a window;
    they then also share the ``SIDE`` bytes to its left or to its right.  The windows of one anchor are
-   neighbours; the stretch of text they cover is the anchor's run.
-2. Each block of documents names its anchors once, with digests of the run and of both sides (0 if it
-   has several) and the least doc_id.  Blocks whose anchor agrees with no other's on a side are done with
-   it.  An anchor that the others have with one and the same run settles its windows: all of them start
-   in the least doc_id of all.
-3. The runs of the other shared anchors are put into one text a block.  Its suffixes are sorted, and
-   intervals of the transform are expanded breadth first, one byte to the left a level, which finds the
-   longest common prefixes of neighbours by increasing value; levels stop at ``MIN``, and places that no
-   level has reached join suffixes which share ``MIN`` bytes or more.  So a block names each of these
-   windows once, by digest, with its least doc_id, and hears the least of all blocks.
-
-Anchors are compared by 48 bits, their sides by 16 more, runs by 32 more, and windows by 64.
+   neighbours; the text they cover is a stretch.  Anchors only route: each block of documents names its
+   anchors once, and hears which of them agree with another block's on a side.
+2. Each block sends its distinct stretches of shared anchors, as bytes with their least doc_id, to the
+   task of the anchor's key range, so that all windows which may be equal meet there.
+3. There, equal stretches are one; those of anchors that still have several are joined into one text.
+   Its suffixes are sorted, and intervals of the transform are expanded breadth first, one byte to the
+   left a level, which finds the longest common prefixes of neighbours by increasing value; levels stop
+   at ``MIN``, and places that no level has reached join suffixes which share ``MIN`` bytes or more.
+   So every window gets the least doc_id of all that have it, and each block hears which windows of
+   its stretches start in a smaller one than its own.
+
+What goes is decided by common prefixes and by comparing bytes; hashes (48 bits of an anchor, 8 of each
+side) only choose what is compared.
 
 Defined cases: NULL text is empty; windows never cross documents; rows with the same doc_id do not
 remove each other; a NULL doc_id counts as larger than all others, and such rows do not remove each
-other; texts under ``MIN`` bytes lose nothing; an empty table gives no rows.
+other; texts under ``MIN`` bytes lose nothing; texts of any length are taken whole, in overlapping steps;
+other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,39 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import documents, map_rows, stored
-from .exchange import LAST, bucket_count, by_bucket, exchange, expand, groups, least_owner, make_blocks, meet, unpack
+from .exchange import LAST, bucket_count, by_bucket, exchange, expand, groups, make_blocks, meet, ranges, squeeze, unpack
 
 #: Bytes of a repeated string; of an anchor's gram.
 MIN, GRAM = 50, 16
 #: Bytes beside an anchor, on one side at least, that equal windows share; bits of an anchor's key that are kept.
-SIDE, KEPT = (MIN - GRAM) // 2, ~np.uint64(0xFFFF)
+SIDE, KEPT = 16, ~np.uint64(0xFFFF)
 #: Bytes that one vectorised step works on, and the bits that a place in a step takes in an anchor's order.
-STEP, PLACE = 1_000_000, np.uint64(20)
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    known = 1
-    while known < n:
-        more = min(known, n - known)
-        out[known : known + more] = out[:more] * np.uint64(pow(base, known, 1 << 64))
-        known += more
-    return out
-
-
-BASE = 0xC2B2AE3D27D4EB4F
-POWERS = _powers(BASE, STEP + 1)
-INVERSE = _powers(pow(BASE, -1, 1 << 64), STEP + 1)
-
-
-def _letters() -> np.ndarray:
-    x = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * ODD
-    x ^= x >> np.uint64(29)
-    return x * np.uint64(0xBF58476D1CE4E5B9)
-
-
-LETTER = _letters()
+STEP, PLACE = 1 << 16, np.uint64(16)
+#: Parts of a bucket's key range that are compared one after another.
+PARTS = 64
+#: Between stretches: a byte that UTF-8 does not have.
+BETWEEN = b"\xff"
+ODD, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,16 +55,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Prefix:
-    """Digests of any substring of one step's bytes."""
-
-    def __init__(self, data: np.ndarray):
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTER[data] * POWERS[: len(data)])])
-
-    def digest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[b] - self.sums[a]) * INVERSE[a])
-
-
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the ``GRAM`` bytes that start at each place."""
     x = data.astype(np.uint64)
@@ -103,41 +75,6 @@ def window_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-class Anchors:
-    """Anchors of one step: a byte array and the ends of its texts; no window crosses an end.
-
-    key, digests of the run and the sides, text's number, first window and one past the last, the gram's place.
-    """
-
-    def __init__(self, data: np.ndarray, ends: np.ndarray):
-        n = len(data) - MIN + 1
-        empty = np.zeros(0, np.int64)
-        self.key = np.zeros(0, np.uint64)
-        self.run, self.sides = np.zeros(0, np.uint32), np.zeros((2, 0), np.uint16)
-        self.text = self.first = self.stop = self.place = empty
-        if n < 1:
-            return
-        h = gram_hashes(data)
-        order = (h >> PLACE << PLACE) | np.arange(len(h), dtype=np.uint64)
-        least = window_least(order, MIN - GRAM + 1)[:n]
-        place = (least & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
-        lengths = np.diff(np.concatenate([[0], ends]))
-        text = np.repeat(np.arange(len(ends)), lengths)[:n]
-        inside = np.arange(MIN, n + MIN) <= np.repeat(ends, lengths)[:n]
-        starts = np.flatnonzero(inside & np.concatenate([[True], (place[1:] != place[:-1]) | ~inside[:-1]]))
-        stops = np.flatnonzero(inside & np.concatenate([(place[1:] != place[:-1]) | ~inside[1:], [True]])) + 1
-        # keys are least hashes: mixed again, so that ranges of keys hold alike
-        at = place[starts]
-        self.key, self.text, self.first, self.stop = _mix(h[at] ^ np.uint64(BASE)) & KEPT, text[starts], starts, stops
-        self.place = at
-        made = Prefix(data)
-        self.run = (made.digest(starts, stops + MIN - 1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        # bytes of other texts may show at a text's ends, where only the other side can count
-        left, right = np.maximum(at - SIDE, 0), np.minimum(at + GRAM + SIDE, len(data))
-        sides = np.stack([made.digest(left, at), made.digest(at + GRAM, right)])
-        self.sides = (sides >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
-
-
 def steps(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, ends, text of each piece, its place in that text): texts together up to STEP bytes.
 
@@ -162,6 +99,43 @@ def steps(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield close()
 
 
+class Anchors:
+    """Anchors of texts: key, hashes of both sides, text, first window, one past the last, the gram's place."""
+
+    def __init__(self, raws: list[bytes]):
+        parts = [found for step in steps(raws) if (found := self._step(*step)) is not None]
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 4)
+        self.key, self.left, self.right, self.text, self.first, self.stop, self.place = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else empty
+
+    @staticmethod
+    def _step(data: np.ndarray, ends: np.ndarray, text: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        n = len(data) - MIN + 1
+        if n < 1:
+            return None
+        h = gram_hashes(data)
+        order = (h >> PLACE << PLACE) | np.arange(len(h), dtype=np.uint64)
+        least = window_least(order, MIN - GRAM + 1)[:n]
+        turn = np.concatenate([[True], least[1:] != least[:-1]])
+        # windows that cross an end belong to no anchor
+        inside = np.ones(n + 1, bool)
+        for e in ends.tolist():
+            inside[max(0, e - MIN + 1) : e] = False
+        inside[n:] = False
+        inside = inside[:n]
+        begins = inside & turn
+        begins[1:] |= inside[1:] & ~inside[:-1]
+        stops = inside.copy()
+        stops[:-1] &= turn[1:] | ~inside[1:]
+        first, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        at = (least[first] & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
+        piece = np.searchsorted(ends, first, "right")
+        move = shift[piece] - np.concatenate([[0], ends[:-1]])[piece]
+        # bytes of other texts may show beside an anchor at a text's ends, where only the other side can count
+        sides = [(h[x] >> np.uint64(56)).astype(np.uint8) | np.uint8(1) for x in (np.maximum(at - SIDE, 0), np.minimum(at + GRAM, len(h) - 1))]
+        # keys are least hashes: mixed again, so that ranges of keys hold alike
+        return _mix(h[at] ^ OTHER) & KEPT, *sides, text[piece], first + move, stop + move, at + move
+
+
 class Texts:
     """The distinct texts of a block with their least doc_ids, and each row's doc_id and text."""
 
@@ -176,27 +150,37 @@ class Texts:
         for doc_id, text in zip(self.ids, self.rows, strict=True):
             if doc_id is not None:
                 self.owner[text] = min(self.owner[text], doc_id)
+        self.base = np.concatenate([[0], np.cumsum([len(x) + MIN for x in self.raws])]).astype(np.int64)
 
 
-def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes by their first ``depth`` or more symbols, their ranks there), by doubling from 8 on."""
+def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes by their first ``depth`` or more symbols, by doubling from 7 on; settled ones are not sorted again."""
     n = len(data)
     padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for k in range(7):  # 9 bits a symbol: seven fit
+    key = padded[:n].copy()
+    for k in range(1, 7):  # 9 bits a symbol: seven fit
         key = key << np.uint64(9) | padded[k : k + n]
-    known = 7
-    while True:
-        order = np.argsort(key)
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if known >= depth or (n and new[-1] == n - 1):
-            return order, rank
-        later = np.zeros(n, np.int64)
-        later[: max(0, n - known)] = rank[known:] + 1
-        key = rank.astype(np.uint64) * np.uint64(n + 1) + later.astype(np.uint64)
+    order = np.argsort(key)
+    first = groups(key[order])
+    size = np.diff(np.append(first, n))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, size)
+    tied, known = np.flatnonzero(np.repeat(size, size) > 1), 7
+    while known < depth and len(tied):
+        some = order[tied]
+        later = np.zeros(len(some), np.uint64)
+        inside = some + known < n
+        later[inside] = rank[some[inside] + known] + 1
+        key = rank[some].astype(np.uint64) * np.uint64(n + 1) + later
+        by = np.argsort(key)
+        some, key = some[by], key[by]
+        order[tied] = some
+        first = groups(key)
+        size = np.diff(np.append(first, len(key)))
+        rank[some] = np.repeat(tied[first], size)
+        tied = tied[np.repeat(size, size) > 1]
         known *= 2
+    return order
 
 
 def prefix_groups(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,63 +193,42 @@ def prefix_groups(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     ``least`` symbols matters for that, as intervals of shorter strings do not depend on the rest.
     """
     n = len(data)
-    order, _ = suffix_order(data, least)
+    order = suffix_order(data, least)
     # row 0 is the empty suffix, which the last symbol precedes; 0 stands before the whole text
-    bwt = np.concatenate([data[-1:].astype(np.int64) + 1 if n else [0], np.where(order > 0, data[order - 1].astype(np.int64) + 1, 0)])
-    step = np.empty(n + 1, np.int64)  # from a row to that of the suffix one symbol longer
-    step[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n + 1)
-    value = np.full(n + 2, -1)  # of rows i - 1 and i
+    symbols = data.astype(np.uint16) + np.uint16(1)
+    bwt = np.concatenate([symbols[-1:] if n else np.zeros(1, np.uint16), np.where(order > 0, symbols[order - 1], 0)]).astype(np.uint16)
+    back = np.argsort(bwt, kind="stable").astype(np.int32)
+    step = np.empty(n + 1, np.int32)  # from a row to that of the suffix one symbol longer
+    step[back] = np.arange(n + 1, dtype=np.int32)
+    # runs of one symbol, whose rows move alike: repetitive text has few
+    begin = groups(bwt).astype(np.int32)
+    end = np.append(begin[1:], n + 1).astype(np.int32)
+    run = np.repeat(np.arange(len(begin), dtype=np.int32), end - begin)
+    letter, move = bwt[begin], step[begin] - begin
+    value = np.full(n + 2, -1, np.int16)  # of rows i - 1 and i
     value[0] = value[n + 1] = 0
-    low, high = np.array([0]), np.array([n + 1])
+    low, high = np.array([0], np.int32), np.array([n + 1], np.int32)
     for level in range(least):
         if not len(low):
             break
-        sizes = high - low
-        inside = np.repeat(low - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        number = np.repeat(np.arange(len(low)), sizes)
-        target = step[inside]
-        sort = np.argsort(target)
-        target, number, symbol = target[sort], number[sort], bwt[inside[sort]]
-        new = np.concatenate([[True], (number[1:] != number[:-1]) | (symbol[1:] != symbol[:-1])])
-        first = np.flatnonzero(new)
-        low = target[first]
-        high = target[np.append(first[1:], len(target)) - 1] + 1
+        first = run[low]
+        sizes = run[high - 1] - first + 1
+        ends = np.cumsum(sizes)
+        number = np.repeat(np.arange(len(low), dtype=np.int32), sizes)
+        which = np.arange(ends[-1], dtype=np.int32) + (first - (ends - sizes).astype(np.int32))[number]
+        start = np.maximum(begin[which], low[number]) + move[which]
+        stop = np.minimum(end[which], high[number]) + move[which]
+        # the parts that an interval has in runs of one symbol are neighbours where they go
+        sort = np.argsort(start)
+        start, stop, number, symbol = start[sort], stop[sort], number[sort], letter[which[sort]]
+        first = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (symbol[1:] != symbol[:-1])]))
+        low, high = start[first], stop[np.append(first[1:], len(start)) - 1]
         fresh = value[high] < 0
         value[high[fresh]] = level
         low, high = low[fresh], high[fresh]
     return order, np.cumsum(value[1 : n + 1] >= 0) - 1
 
 
-def _by_anchor(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(order by key, first places, for each column its value if a key has one, else 0)."""
-    order = np.argsort(key)
-    first = groups(key[order])
-    out = []
-    for c in columns:
-        c = c[order]
-        low, high = np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)
-        out.append(np.where(low == high, low, 0).astype(c.dtype))
-    return order, first, out
-
-
-def _anchor_rows(blocks: DataFrame, buckets: int) -> DataFrame:
-    def work(batches) -> Iterator[dict]:
-        for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                texts = Texts(unpack(payload.as_py()))
-                parts = []
-                for data, ends, text, _ in steps(texts.raws):
-                    a = Anchors(data, ends)
-                    parts.append((a.key, a.run, *a.sides, texts.owner[text[a.text]]))
-                if parts:
-                    key, run, left, right, owner = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    if len(key):
-                        order, first, one = _by_anchor(key, run, left, right)
-                        yield by_bucket(block, buckets, key[order][first], *one, np.minimum.reduceat(owner[order], first))
-
-    return map_rows(blocks, work, "block long, bucket int, blob binary")
-
-
 def _twice(key: np.ndarray, side: np.ndarray) -> np.ndarray:
     """Whether another row has the same key and side; the key's low bits are free for the side."""
     both = key | side
@@ -277,154 +240,205 @@ def _twice(key: np.ndarray, side: np.ndarray) -> np.ndarray:
     return out
 
 
-def _judge_anchors(key: np.ndarray, block: np.ndarray, run: np.ndarray, left: np.ndarray, right: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of anchors that agree with another block's on a side: the run if it is one, else 0, the sides, and the least doc_id.
+def _anchor_rows(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Each block's distinct anchors with the hash of each side, 0 where it has several."""
 
-    1 stands for the left side, 2 for the right.  Where a block has several sides for a key, all count.
+    def work(batches) -> Iterator[dict]:
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                a = Anchors(Texts(unpack(payload.as_py())).raws)
+                if not len(a.key):
+                    continue
+                order = np.argsort(a.key)
+                first = groups(a.key[order])
+                one = []
+                for side in (a.left[order], a.right[order]):
+                    low = np.minimum.reduceat(side, first)
+                    one.append(np.where(low == np.maximum.reduceat(side, first), low, 0).astype(np.uint8))
+                yield by_bucket(block, buckets, a.key[order][first], *one)
+
+    return map_rows(blocks, work, "block long, bucket int, blob binary")
+
+
+def _judge_anchors(key: np.ndarray, block: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The anchors that agree with another block's on a side: 1 for the left one, 2 for the right one, 3 for both.
+
+    Where a block has several sides for a key, all count.
     """
-    if not len(key):
-        return np.zeros(0, np.int64), [run, left.astype(np.uint8), owner]
     first = groups(key)
+    if not len(first):
+        return first, [left]
     count = np.diff(np.append(first, len(key)))
     several = np.maximum.reduceat((left == 0) | (right == 0), first)
     sides = np.where(np.repeat(several, count), 3, _twice(key, left) + 2 * _twice(key, right)).astype(np.uint8)
     rows = np.flatnonzero(np.repeat(count > 1, count) & (sides > 0))
-    key, run, owner, sides = key[rows], run[rows], owner[rows], sides[rows]
-    if not len(rows):
-        return rows, [run, sides, owner]
-    first = groups(key)
-    count = np.diff(np.append(first, len(key)))
-    low, high = np.minimum.reduceat(run, first), np.maximum.reduceat(run, first)
-    one = np.repeat(np.where(low == high, low, 0), count).astype(np.uint32)
-    return rows, [one, sides, np.repeat(np.minimum.reduceat(owner, first), count)]
-
+    return rows, [sides[rows]]
 
-def _read(replies: list[bytes], *kinds: str) -> list[np.ndarray]:
-    if not replies:
-        return [np.zeros(0, k) for k in ("<u8", *kinds)]
-    columns = [np.concatenate(c) for c in zip(*(expand(b, "<u8", *kinds) for b in replies), strict=True)]
-    order = np.argsort(columns[0], kind="stable")
-    return [c[order] for c in columns]
 
+def _read(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
+    if not blobs:
+        return [np.zeros(0, k) for k in kinds]
+    return [np.concatenate(c) for c in zip(*(expand(b, *kinds) for b in blobs), strict=True)]
 
-def _look(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of each key in the sorted ``known``, whether it is there)."""
-    if not len(known):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return at, known[at] == keys
 
-
-class Doubts:
-    """What a block knows once it has heard of its anchors: settled spans, and windows in doubt.
-
-    ``spans`` has rows of text, start and end.  ``joined`` are the stretches of text that the runs in
-    doubt cover, each followed by a symbol that no byte is; ``at`` are the places of the windows in
-    doubt there, ``text`` and ``start`` their places in the block's texts.
+def _shared_windows(texts: Texts, a: Anchors, replies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, one past the last) of windows that another text's may equal, in order of keys."""
+    known, told = _read(replies, "<u8", "<u1")
+    by = np.argsort(known)
+    known, told = known[by], told[by]
+    order = np.argsort(a.key, kind="stable")
+    key, mine = a.key[order], texts.owner[a.text[order]]
+    first = groups(key)
+    if not len(first):
+        return order, order, order
+    count = np.diff(np.append(first, len(key)))
+    several = np.minimum.reduceat(mine, first) != np.maximum.reduceat(mine, first)
+    # within the block, texts have to agree on a side too
+    sides = np.where(np.repeat(several, count), _twice(key, a.left[order]) + 2 * _twice(key, a.right[order]), 0).astype(np.uint8)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, key[first]), len(known) - 1)
+        sides |= np.repeat(np.where(known[at] == key[first], told[at], 0), count).astype(np.uint8)
+    some = sides > 0
+    order, sides = order[some], sides[some]
+    # windows that hold a whole side on which texts agree
+    middle = a.place[order] - SIDE
+    low = np.where(sides & 1, a.first[order], np.maximum(a.first[order], middle))
+    high = np.where(sides & 2, a.stop[order], np.minimum(a.stop[order], middle + 1))
+    there = low < high
+    return order[there], low[there], high[there]
+
+
+def _stretch_rows(block: int, table: pa.Table, replies: list[bytes], buckets: int) -> dict[str, list]:
+    """Kind 0: by bucket, the distinct stretches in order of keys; kind 1: where the block has them.
+
+    A stretch has a number in its block; a bucket's blob has the first one's.
     """
-
-    def __init__(self, table: pa.Table, replies: list[bytes]):
-        self.texts = Texts(table)
-        self.spans, runs = _settle(self.texts, replies)
-        raws = self.texts.raws
-        base = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raws])]).astype(np.int64)
-        every = np.frombuffer(b"\0".join(raws), np.uint8)
-        low, high = base[runs[:, 0]] + runs[:, 1], base[runs[:, 0]] + runs[:, 2]
-        a, b = merge(low, high)
-        sizes = b - a
-        begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64) if len(a) else a
-        self.joined = np.full(int((sizes + 1).sum()), 256, np.int64)
-        step = np.arange(sizes.sum())
-        before = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(a) else a
-        self.joined[np.repeat(begin - before, sizes) + step] = every[np.repeat(a - before, sizes) + step]
-        stretch = np.searchsorted(a, low, "right") - 1
-        first = begin[stretch] + low - a[stretch] if len(a) else a
-        marks = np.zeros(len(self.joined) + 1, np.int64)
-        np.add.at(marks, first, 1)
-        np.add.at(marks, first + (high - low) - MIN + 1, -1)
-        self.at = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
-        of = np.searchsorted(begin, self.at, "right") - 1
-        place = a[of] + self.at - begin[of] if len(a) else self.at
-        self.text = np.searchsorted(base, place, "right") - 1
-        self.start = place - base[self.text]
-
-
-def _settle(texts: Texts, replies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of text, start and end: spans that a smaller doc_id settles, and runs in doubt."""
-    known, run, told, least = _read(replies, "<u4", "<u1", "<i8")
-    settled: list[list[np.ndarray]] = []  # text, start, end
-    doubtful: list[list[np.ndarray]] = []
-    found = [(text, place, data, Anchors(data, ends), ends) for data, ends, text, place in steps(texts.raws)]
-    # what the block itself knows of its anchors
-    key = np.concatenate([a.key for *_, a, _ in found]) if found else np.zeros(0, np.uint64)
-    if len(key):
-        mine = np.concatenate([texts.owner[text[a.text]] for text, _, _, a, _ in found])
-        runs, left, right = (np.concatenate(c) for c in zip(*((a.run, *a.sides) for *_, a, _ in found), strict=True))
-        order = np.argsort(key)
-        first = groups(key[order])
-        count = np.diff(np.append(first, len(key)))
-        low, high = np.minimum.reduceat(runs[order], first), np.maximum.reduceat(runs[order], first)
-        who, last = np.minimum.reduceat(mine[order], first), np.maximum.reduceat(mine[order], first)
-        at, there = _look(key[order][first], known)
-        if len(known):
-            low = np.where(there, np.where(low == high, run[at], 0), low)
-            high = np.where(there, np.where(run[at] > 0, low, high), high)
-            who = np.where(there, np.minimum(least[at], who), who)
-        one = (low == high) & (low > 0)
-        # within the block, texts have to agree on a side too
-        agree = _twice(key[order], left[order]) + 2 * _twice(key[order], right[order])
-        shared = there | (who != last) & (np.maximum.reduceat(agree, first) > 0)
-        sides = np.empty(len(key), np.uint8)
-        sides[order] = agree | np.repeat(np.where(there, told[at] if len(known) else 0, 0), count)
-        # 1: settled, 2: doubtful
-        state = np.empty(len(key), np.int8)
-        owner = np.empty(len(key), np.int64)
-        state[order] = np.repeat(np.where(shared, np.where(one, 1, 2), 0), count)
-        owner[order] = np.repeat(who, count)
-        a0 = 0
-        for text, place, data, a, ends in found:
-            s, w = state[a0 : a0 + len(a.key)], owner[a0 : a0 + len(a.key)]
-            a0 += len(a.key)
-            whose = text[a.text] if len(a.key) else a.text
-            base = np.concatenate([[0], ends[:-1]])
-            shift = place[a.text] - base[a.text] if len(a.key) else a.text
-            # a text's copies with larger ids are dropped whole; its least owner is compared here
-            over = (s == 1) & (w < texts.owner[whose])
-            settled.append([whose[over], (a.first + shift)[over], (a.stop + MIN - 1 + shift)[over]])
-            # of the others, windows that hold a whole side on which texts agree
-            on = sides[a0 - len(a.key) : a0]
-            middle = a.place - SIDE
-            low_ = np.where(on & 1, a.first, np.maximum(a.first, middle))
-            high_ = np.where(on & 2, a.stop, np.minimum(a.stop, middle + 1))
-            left_ = (s == 2) & (low_ < high_)
-            doubtful.append([whose[left_], (low_ + shift)[left_], (high_ + MIN - 1 + shift)[left_]])
-    spans, runs = (np.stack([np.concatenate(c).astype(np.int64) for c in zip(*x, strict=True)], 1) if x else np.zeros((0, 3), np.int64) for x in (settled, doubtful))
-    return spans, runs
-
-
-def _window_keys(block: int, table: pa.Table, replies: list[bytes], buckets: int) -> dict[str, list]:
-    """The distinct windows in doubt of a block, by digest, with their least doc_ids."""
-    found = Doubts(table, replies)
-    if not len(found.at):
-        return {"block": [], "bucket": [], "blob": []}
-    owner = np.full(len(found.joined), -1)
-    owner[found.at] = found.texts.owner[found.text]
-    order, group = prefix_groups(found.joined, MIN)
-    window = owner[order] >= 0
-    order, group = order[window], group[window]
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    return by_bucket(block, buckets, window_digests(found.joined)[order[first]], np.minimum.reduceat(owner[order], first))
-
-
-def window_digests(symbols: np.ndarray) -> np.ndarray:
-    """A digest of the ``MIN`` symbols that start at each place; the last places have none."""
-    out = np.zeros(len(symbols), np.uint64)
-    for a in range(0, max(0, len(symbols) - MIN + 1), STEP - MIN):
-        part = symbols[a : a + STEP]
-        made = Prefix(part & 255)
-        at = np.arange(len(part) - MIN + 1)
-        out[a : a + len(at)] = made.digest(at, at + MIN)
-    return out
+    texts = Texts(table)
+    a = Anchors(texts.raws)
+    anchor, low, high = _shared_windows(texts, a, replies)
+    out: dict[str, list] = {"kind": [], "block": [], "bucket": [], "blob": []}
+    if not len(anchor):
+        return out
+    text = a.text[anchor]
+    whole, at = b"".join(texts.raws), low + (texts.base[:-1] - MIN * np.arange(len(texts.raws)))[text]
+    found = [whole[i:j] for i, j in zip(at.tolist(), (at + high - low + MIN - 1).tolist(), strict=True)]
+    known = {x: i for i, x in enumerate(dict.fromkeys(found))}
+    number = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+    new = np.concatenate([[True], number[1:] > np.maximum.accumulate(number)[:-1]])
+    key = a.key[anchor[new]]
+    owner = np.full(len(known), LAST)
+    np.minimum.at(owner, number, texts.owner[text])
+    every = list(known)
+    size = np.fromiter(map(len, every), np.uint8, len(every))
+    part = ranges(key, buckets * PARTS)
+    edges = np.searchsorted(part, np.arange(buckets + 1) * PARTS).tolist()
+    for bucket, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if i < j:
+            count = np.bincount(part[i:j] - bucket * PARTS, minlength=PARTS)
+            tag = (key[i:j] >> np.uint64(16)).astype(np.uint16)  # bits beyond the part's
+            head = np.concatenate([[i, j - i], count]).astype("<u4").tobytes()
+            out["kind"].append(0)
+            out["block"].append(block)
+            out["bucket"].append(bucket)
+            out["blob"].append(squeeze(np.frombuffer(head + _planes(tag, size[i:j], owner[i:j].astype("<i8")) + b"".join(every[i:j]), np.uint8)))
+    place = texts.base[text] + low
+    by = np.argsort(place)
+    state = squeeze(np.diff(place[by], prepend=0).astype("<u4"), (high - low)[by].astype("<u1"), number[by].astype("<u4"))
+    return {"kind": [*out["kind"], 1], "block": [*out["block"], block], "bucket": [*out["bucket"], 0], "blob": [*out["blob"], state]}
+
+
+def _planes(*columns: np.ndarray) -> bytes:
+    return b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+
+
+class Sent:
+    """One block's stretches in a bucket, read again: number of the first, tags, sizes, owners, bytes and parts' edges."""
+
+    def __init__(self, blob: bytes):
+        (raw,) = expand(blob, "<u1")
+        self.first, n, *count = np.frombuffer(raw[: 4 * (PARTS + 2)].tobytes(), "<u4").tolist()
+        self.edges = np.concatenate([[0], np.cumsum(count)]).tolist()
+        at = 4 * (PARTS + 2)
+        column = lambda kind, a, wide: np.ascontiguousarray(raw[a : a + n * wide].reshape(wide, n).T).view(kind).ravel()
+        self.tag, self.size, self.owner = column("<u2", at, 2), column("<u1", at + 2 * n, 1), column("<i8", at + 3 * n, 8)
+        self.ends = np.cumsum(self.size, dtype=np.int64)
+        self.raw = raw[at + 11 * n :].tobytes()
+
+    def part(self, k: int) -> tuple[int, list[bytes], np.ndarray, np.ndarray]:
+        a, b = self.edges[k], self.edges[k + 1]
+        edges = [int(self.ends[a - 1]) if a else 0, *self.ends[a:b].tolist()]
+        return self.first + a, [self.raw[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)], self.owner[a:b], self.tag[a:b]
+
+
+def _least_owners(distinct: list[bytes], owner: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least doc_id of each window of the distinct stretches one after another, where each stretch's windows begin).
+
+    Stretches with a tag of their own hold windows that no other one has.
+    """
+    windows = np.array([len(x) - MIN + 1 for x in distinct], np.int64)
+    begin = np.concatenate([[0], np.cumsum(windows)])
+    least = np.repeat(owner, windows)
+    seen, at, count = np.unique(tag, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count[at] > 1)
+    if not len(some):
+        return least, begin
+    joined = np.frombuffer(BETWEEN.join([*(distinct[i] for i in some.tolist()), b""]), np.uint8)
+    sizes = windows[some] + MIN  # with what stands between
+    start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    order, group = prefix_groups(joined, MIN)
+    # the window that starts at each place, if one does
+    into = np.full(len(joined), -1)
+    run = np.arange(windows[some].sum()) - np.repeat(np.concatenate([[0], np.cumsum(windows[some])[:-1]]), windows[some])
+    into[np.repeat(start, windows[some]) + run] = np.repeat(begin[some], windows[some]) + run
+    window = into[order]
+    real = window >= 0
+    window, group = window[real], group[real]
+    first = groups(group)
+    least[window] = np.repeat(np.minimum.reduceat(least[window], first), np.diff(np.append(first, len(window))))
+    return least, begin
+
+
+def _answers(part: list[tuple[int, list[bytes], np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For some blocks' stretches: (sender, numbers, first window, windows) of runs that start in a smaller doc_id."""
+    known = {x: i for i, x in enumerate(dict.fromkeys(x for _, texts, _, _ in part for x in texts))}
+    if not known:
+        return
+    which = [np.fromiter(map(known.__getitem__, texts), np.int64, len(texts)) for _, texts, _, _ in part]
+    every = np.concatenate(which)
+    owner, tag = np.full(len(known), LAST), np.zeros(len(known), np.uint16)
+    np.minimum.at(owner, every, np.concatenate([o for *_, o, _ in part]))
+    tag[every] = np.concatenate([t for *_, t in part])
+    least, begin = _least_owners(list(known), owner, tag)
+    lowest = np.minimum.reduceat(least, begin[:-1])
+    for k, ((first, _, own, _), at) in enumerate(zip(part, which, strict=True)):
+        some = np.flatnonzero(lowest[at] < own)
+        if not len(some):
+            continue
+        a, n = begin[at[some]], (begin[1:] - begin[:-1])[at[some]]
+        edge = np.concatenate([[0], np.cumsum(n)])
+        inside = np.arange(edge[-1]) - np.repeat(edge[:-1], n)
+        over = least[np.repeat(a, n) + inside] < np.repeat(own[some], n)
+        starts = over.copy()
+        starts[1:] &= ~over[:-1] | (inside[1:] == 0)
+        stops = over.copy()
+        stops[:-1] &= ~over[1:] | (inside[1:] == 0)
+        i, j = np.flatnonzero(starts), np.flatnonzero(stops)
+        yield k, first + some[np.searchsorted(edge, i, "right") - 1], inside[i], j - i + 1
+
+
+def _compared(rows: DataFrame, buckets: int) -> DataFrame:
+    """(block, blob): numbers of a block's stretches, and runs of windows there that start in a smaller doc_id."""
+
+    def reduce(table: pa.Table) -> pa.Table:
+        blocks, sent = table.column("block").to_pylist(), [Sent(b.as_py()) for b in table.column("blob")]
+        found: list[list] = [[] for _ in sent]
+        for k in range(PARTS):
+            for who, *columns in _answers([s.part(k) for s in sent]):
+                found[who].append(columns)
+        told = [(b, squeeze(*(np.concatenate(c).astype(kind) for c, kind in zip(zip(*f, strict=True), ("<u4", "<u1", "<u1"), strict=True)))) for b, f in zip(blocks, found, strict=True) if f]
+        return pa.table({"block": pa.array([b for b, _ in told], pa.int64()), "blob": pa.array([x for _, x in told], pa.binary())})
+
+    return rows.where("kind = 0").select("block", "bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "block long, blob binary")
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -438,55 +452,54 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], ends[last]
 
 
-def _last_pass(table: pa.Table, replies: list[bytes], answers: list[bytes]) -> Iterator[tuple[int | None, bytes, np.ndarray, np.ndarray]]:
+def _last_pass(table: pa.Table, replies: list[bytes], state: list[bytes]) -> Iterator[tuple[int | None, bytes, np.ndarray, np.ndarray]]:
     """For each row: doc_id, bytes, and the starts and ends of what goes."""
-    found = Doubts(table, replies)
-    texts, spans = found.texts, found.spans
-    if len(found.at):
-        known, least = _read(answers, "<i8")
-        digest = window_digests(found.joined)[found.at]
-        # the least doc_id with the window in this block, then in all
-        order = np.argsort(digest)
-        first = groups(digest[order])
-        mine = texts.owner[found.text]
-        who = np.empty(len(digest), np.int64)
-        who[order] = np.repeat(np.minimum.reduceat(mine[order], first), np.diff(np.append(first, len(digest))))
-        at, there = _look(digest, known)
-        if len(known):
-            who = np.where(there, np.minimum(who, least[at]), who)
-        over = who < mine
-        spans = np.concatenate([spans, np.stack([found.text[over], found.start[over], found.start[over] + MIN], 1)])
-    order = np.argsort(spans[:, 0], kind="stable")
-    spans = spans[order]
-    edges = np.searchsorted(spans[:, 0], np.arange(len(texts.raws) + 1))
-    merged = [merge(spans[edges[i] : edges[i + 1], 1], spans[edges[i] : edges[i + 1], 2]) for i in range(len(texts.raws))]
+    texts = Texts(table)
+    starts = ends = np.zeros(0, np.int64)
+    if state:
+        gap, windows, number = expand(state[0], "<u4", "<u1", "<u4")
+        place, windows, number = np.cumsum(gap, dtype=np.int64), windows.astype(np.int64), number.astype(np.int64)
+        mine = texts.owner[np.searchsorted(texts.base, place, "right") - 1]
+        least = np.full(int(number.max()) + 1, LAST)
+        np.minimum.at(least, number, mine)
+        over = least[number] < mine  # the block itself has the stretch in a smaller doc_id
+        which, first, many = _read(replies, "<u4", "<u1", "<u1")
+        by = np.argsort(which)
+        which, first, many = which[by], first[by].astype(np.int64), many[by].astype(np.int64)
+        low, high = np.searchsorted(which, number), np.searchsorted(which, number, "right")
+        low[over] = high[over]
+        count = high - low
+        run = np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.repeat(low, count)
+        again = np.repeat(place, count) + first[run]
+        starts, ends = merge(np.concatenate([place[over], again]), np.concatenate([(place + windows)[over], again + many[run]]) + MIN - 1)
+    edges = np.searchsorted(starts, texts.base)
     for doc_id, text in zip(texts.ids, texts.rows, strict=True):
         raw = texts.raws[text]
         if len(raw) >= MIN and (LAST if doc_id is None else doc_id) > texts.owner[text]:  # a copy
             yield doc_id, raw, np.array([0]), np.array([len(raw)])
         else:
-            yield doc_id, raw, *merged[text]
+            some = slice(edges[text], edges[text + 1])
+            yield doc_id, raw, starts[some] - texts.base[text], ends[some] - texts.base[text]
 
 
 def _met(docs: DataFrame, work, schema) -> DataFrame:
     blocks = make_blocks(docs, dealt=True)
     buckets = bucket_count(blocks)
-    heard = stored(exchange(_anchor_rows(blocks, buckets), ("<u4", "<u2", "<u2", "<i8"), _judge_anchors, buckets), "anchors")
-    keys = meet(blocks, heard, lambda block, table, replies, _: _window_keys(block, table, replies, buckets), "block long, bucket int, blob binary")
-    return meet(blocks, heard, work, schema, exchange(keys, ("<i8",), least_owner, buckets))
+    heard = exchange(_anchor_rows(blocks, buckets), ("<u1", "<u1"), _judge_anchors, buckets)
+    rows = stored(meet(blocks, heard, lambda block, table, replies, _: _stretch_rows(block, table, replies, buckets), "kind int, block long, bucket int, blob binary"), "stretches")
+    return meet(blocks, _compared(rows, buckets), work, schema, rows.where("kind = 1"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the spans as an array of (start, end), one row a document."""
 
-    def work(block: int, table: pa.Table, replies: list[bytes], answers: list[bytes]) -> dict:
+    def work(block: int, table: pa.Table, replies: list[bytes], state: list[bytes]) -> dict:
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
-        for doc_id, raw, starts, ends in _last_pass(table, replies, answers):
-            kept = hashlib.sha256()
-            for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(raw)], strict=True):
-                kept.update(raw[a:b])
-            spans = [{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            for column, value in zip(out.values(), (doc_id, len(raw), int((ends - starts).sum()), len(starts), kept.hexdigest(), spans), strict=True):
+        for doc_id, raw, starts, ends in _last_pass(table, replies, state):
+            a, b = starts.tolist(), ends.tolist()
+            kept = b"".join([raw[i:j] for i, j in zip([0, *b], [*a, len(raw)], strict=True)]) if a else raw
+            spans = [{"start": i, "end": j} for i, j in zip(a, b, strict=True)]
+            for column, value in zip(out.values(), (doc_id, len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), spans), strict=True):
                 column.append(value)
         return out
 

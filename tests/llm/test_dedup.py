@@ -130,15 +130,50 @@ def test_repeated_strings(spark, odd, odd_docs, monkeypatch, limit):
     assert got == brute_repeats(odd)
 
 
-def test_long_texts_are_cut_into_steps(spark, monkeypatch):
+def test_long_texts(spark):
     rng = random.Random(8)
-    rows = [(1, prose(rng, 400)), (2, prose(rng, 100)), (3, "")]
-    rows += [(4, rows[0][1][900:1700] + prose(rng, 50)), (5, prose(rng, 300) + rows[1][1][30:300])]
-    monkeypatch.setattr(suffix, "STEP", 300)
+    rows = [(1, prose(rng, 14_000)), (2, prose(rng, 100)), (3, "")]
+    rows += [(4, rows[0][1][900:1700] + prose(rng, 50)), (5, prose(rng, 300) + rows[1][1][30:300]), (6, rows[0][1][65_000:66_500] + "x" + rows[0][1][-70_000:])]
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removals(frame(spark, rows)).collect())
     assert got == brute_repeats(rows)
 
 
+def test_steps_do_not_move_anchors(monkeypatch):
+    rng = random.Random(9)
+    raws = [prose(rng, n).encode() for n in (0, 400, 3, 30, 300, 9, 9, 900)] + [b"w" * 700]
+
+    def windows():
+        a = suffix.Anchors(raws)
+        found = {(t, i): k for t, k, f, s in zip(a.text.tolist(), a.key.tolist(), a.first.tolist(), a.stop.tolist(), strict=True) for i in range(f, s)}
+        assert len(found) == int((a.stop - a.first).sum()) == sum(max(0, len(r) - 49) for r in raws)
+        by: dict = {}
+        assert all(by.setdefault(raws[t][i : i + 50], k) == k for (t, i), k in found.items())
+        return found
+
+    want = windows()
+    monkeypatch.setattr(suffix, "STEP", 300)
+    assert windows() == want
+
+
+def test_common_prefixes_decide(monkeypatch):
+    rng = random.Random(10)
+    one, tag = prose(rng, 40).encode(), np.array([3, 3, 3, 4], np.uint16)
+    parts, owner = [one[:80], one[10:84], one[30:82], one[:80] + b"!"], np.array([9, 7, 8, 1])
+
+    def least():
+        found, begin = suffix._least_owners(parts, owner, tag)
+        return [found[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+
+    first = {}
+    for p, o, t in zip(parts, owner, tag, strict=True):
+        for k in range(len(p) - 49):
+            first[t, p[k : k + 50]] = min(first.get((t, p[k : k + 50]), LAST), o)
+    want = [[first[t, p[k : k + 50]] for k in range(len(p) - 49)] for p, t in zip(parts, tag, strict=True)]
+    assert least() == want
+    monkeypatch.setattr(suffix, "prefix_groups", lambda data, n: (np.arange(len(data)), np.arange(len(data))))
+    assert least() != want
+
+
 @pytest.mark.parametrize("n", [1, 2, 50, 700])
 @pytest.mark.parametrize("least", [1, 2, 3, 5, 50])
 def test_prefix_groups(n, least):
