@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ from ..shipping import ship
 
 #: Bytes of text that one vectorised step works on; a longer text makes a step of its own.
 STEP_BYTES = 1_000_000
+#: What open scopes will remove: folders and tables, innermost scope last.
+_SCOPES: list[list[tuple[str, str]]] = []
+_LETTERS: list[np.ndarray] = []
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
@@ -41,6 +45,19 @@ def steps(ids: pa.Array, texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[t
         yield names[first:], values[first:]
 
 
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point of Unicode: whether it is a letter, and its lower case as one code point."""
+    if not _LETTERS:
+        known, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+        for i in range(0x40000):  # planes beyond have none
+            if (c := chr(i)).isalpha():
+                known[i] = True
+            if (low := c.lower()) != c:
+                lower[i] = ord(low[0])
+        _LETTERS.extend([known, lower])
+    return _LETTERS[0], _LETTERS[1]
+
+
 def map_texts(df: DataFrame, work: Callable[[], Callable[[list, list], dict]], schema: str) -> DataFrame:
     """``work()`` is called once a task and returns a function from (ids, texts) to columns."""
     fields = [part.strip().split(" ")[0] for part in schema.split(",")]
@@ -86,14 +103,42 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, what: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    ``lasting`` results stay when the innermost scope ends.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/relift-{what}-{uuid.uuid4().hex}"
+    remember("folder", path, lasting)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remember(kind: str, name: str, lasting: bool = False) -> None:
+    """Have the innermost scope, or for ``lasting`` ones the next, remove a folder or a table."""
+    if len(_SCOPES) > lasting:
+        _SCOPES[-1 - lasting].append((kind, name))
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes, when it ends, what operators called inside have written to the shared folder.
+
+    Their results are lazy: they have to be written or collected inside.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for kind, name in reversed(_SCOPES.pop()):
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            else:
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded(df: DataFrame, bound: int, seed: str) -> DataFrame:
     """About ``bound`` rows, the same ones each time: those whose hash lies under a threshold.
 

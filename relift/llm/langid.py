@@ -6,9 +6,11 @@ character trigrams, word edges included.  Viterbi over the words, with a penalty
 spans; a text's language is the one that most letters are labelled with, its score their share weighted
 by how far the labelled words prefer it.
 
-Trained on a bounded sample of documents with a known language.  Defined cases: NULL, empty and
-letterless texts are ``und`` with score 0 and have no spans; with no training rows all are ``und``;
-equal scores go to the language first in order; repeated rows are labelled each.
+Letters are those of all of Unicode, and lower case is taken code point by code point.  Trained on a
+bounded sample of documents with a known language.  Defined cases: NULL, empty and letterless texts are
+``und`` with score 0 and have no spans; with no training rows all are ``und``; equal scores go to the
+language first in order; repeated rows are labelled each; long texts are scored in parts and labelled
+whole; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, documents, fold, map_rows, map_texts, steps
+from .common import bounded, documents, fold, letters, map_rows, map_texts, steps
 
 FOLDS, HELD_OUT = 5, 0
 #: Documents that the model is trained on, at most about; buckets of character trigrams.
@@ -30,18 +32,10 @@ PART = 250_000
 #: Nats that a switch between words costs, and the most that one word may prefer a language by.
 SWITCH, WORD_CAP = 6.0, 8.0
 #: First code points of ranges and their scripts, up to the next entry.
-RANGES = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "other"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
+RANGES = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "other"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x32000, "other")]
 SCRIPTS = sorted({name for _, name in RANGES})
 STARTS = np.array([a for a, _ in RANGES], np.uint32)
 SCRIPT_OF = np.array([SCRIPTS.index(name) for _, name in RANGES], np.int64)
-_LETTERS: list[np.ndarray] = []
-
-
-def letters() -> np.ndarray:
-    """Whether a code point of the first plane is a letter; beyond it, all count as letters."""
-    if not _LETTERS:
-        _LETTERS.append(np.array([chr(i).isalpha() for i in range(0x10000)] + [True]))
-    return _LETTERS[0]
 
 
 @dataclass
@@ -57,13 +51,13 @@ class Words:
 
 
 def words(texts: list[str | None]) -> Words:
-    low = [(t or "").lower() if len((t or "").lower()) == len(t or "") else (t or "") for t in texts]
-    joined = "\n".join(low) + "\n"
+    joined = "\n".join(t or "" for t in texts) + "\n"
     p = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = letters()[np.minimum(p, 0x10000)]
+    known, lower = letters()
+    p, is_letter = lower[p], known[p]
     edge = np.diff(is_letter.astype(np.int8), prepend=0, append=0)
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    begins = np.cumsum([0, *(len(t) + 1 for t in low)])
+    begins = np.cumsum([0, *(len(t or "") + 1 for t in texts)])
     owner = np.searchsorted(begins, a, "right") - 1
     # the trigram ending at each letter and at the place after the word; places outside words count as 0
     q = np.where(is_letter, p, 0).astype(np.uint64)
@@ -108,7 +102,7 @@ class Model:
 
         All texts advance together, longest first, so a step is one array operation.
         """
-        out = np.zeros(len(w.size), np.int8)
+        out = np.zeros(len(w.size), np.int16)
         count = np.bincount(w.owner, minlength=n)
         first = np.concatenate([[0], np.cumsum(count)[:-1]])
         order = np.argsort(-count, kind="stable")
@@ -119,7 +113,7 @@ class Model:
         steps_ = int(count[0])
         active = np.searchsorted(-count, -np.arange(1, steps_ + 1), "right")  # texts with more than t words
         best = s[first[:alive]].astype(np.float64)
-        jump, top = np.zeros(s.shape, bool), np.zeros(len(s), np.int8)
+        jump, top = np.zeros(s.shape, bool), np.zeros(len(s), np.int16)
         for t in range(1, steps_):
             k = active[t]
             now = best[:k]
