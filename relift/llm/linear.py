@@ -63,7 +63,7 @@ def fit(rows: list[np.ndarray], labels: list[int], c: float = 1.0, rounds: int =
     """From distinct buckets and a 0/1 label a row; without rows, or with one class, a constant model."""
     y = np.array(labels, int)
     if len(y) == 0 or y.min() == y.max():
-        p = (y.sum() + 1) / (len(y) + 2)
+        p = (y.sum() + 0.5) / (len(y) + 2)  # without labels, rather 0
         return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
     count = [np.bincount(np.concatenate([r for r, k in zip(rows, y, strict=True) if k == at] or [np.zeros(0, int)]), minlength=BUCKETS) + smooth for at in (0, 1)]
     ratio = np.log(count[1] / (len(y[y == 1]) + 2 * smooth)) - np.log(count[0] / (len(y[y == 0]) + 2 * smooth))

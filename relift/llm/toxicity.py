@@ -7,11 +7,15 @@ every character may stand for, whether it may be skipped, each with a channel co
 ends at a separator, which costs what the character model says.  The cheapest
 path under a character trigram model of the corpus is the restored token.  Elsewhere only repeated
 letters are in question; their cheapest paths do not depend on each other and come from array
-operations too.  ``!`` and ``*`` after a word are punctuation.  The restored text is then
-scored by a linear model over its words and their beginnings.
+operations too.  ``!`` and ``*`` after a word are punctuation.  Before all that, letters of other
+scripts that look Latin become so in words that mix both.  The restored text is then scored by a
+linear model over its words and their beginnings.
 
 The trigram model counts all letters of all documents.  Defined cases: NULL and empty texts have no
-features; repeated rows are scored each; an empty table gives no rows.
+features; tokens and texts of any length are restored whole; of equally cheap readings the first found
+counts, which is the same one each time; a score of just 0.5 is toxic; repeated rows are scored each;
+other columns are not read, and a filter hands them on; an empty table gives no rows.  A word whose
+parts are set apart by single blanks, as long as they are not single letters, is not joined.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from ..shipping import ship
-from .common import documents, fold, map_rows, steps
+from .common import documents, fold, letters, map_rows, steps
 from .linear import Hashes, Model, bucket
 
 FOLDS, HELD_OUT = 5, 0
@@ -39,15 +43,24 @@ READ, DROP_REPEAT, DROP_SEPARATOR, KEEP_SIGN = 0.5, 0.2, 0.2, 8.0
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøùúûüýÿßœ"
 SYMBOL = {c: i + 2 for i, c in enumerate(LETTERS)}
 N = 64
-#: Code points beyond this table are looked up as letters of class 1.
+#: Code points beyond this table count as one letter of class 1, or as one sign that is none.
 TABLE = 0x250
 WORD = re.compile(r"\w+")
+#: Letters of other scripts that look like Latin ones (fixed values), and where both meet in a word.
+LOOKS = str.maketrans("аеорсухіѕјһԁԛԝкмтвнгοανιρτυκεɡ", "aeopcyxisjhdqwkmtbhroaviptukeg")
+MIXED = re.compile(r"[a-z][ɡͰ-ԯ]|[ɡͰ-ԯ][a-z]")
+#: Separators between two spelled letters, at most.
+WIDE = 3
+
+
+def _among(signs) -> np.ndarray:
+    return np.isin(np.arange(TABLE + 2), [ord(c) for c in signs])
 
 
 def _tables() -> tuple[np.ndarray, ...]:
     chars = [chr(i) for i in range(TABLE)]
-    symbol = np.array([SYMBOL.get(c.lower(), 1 if c.isalpha() else 0) for c in chars], np.int64)
-    return symbol, symbol > 0, np.isin(np.arange(TABLE), [ord(c) for c in LEET if ord(c) < TABLE]), np.isin(np.arange(TABLE), [ord(c) for c in SEPARATORS])
+    symbol = np.array([*(SYMBOL.get(c.lower(), 1 if c.isalpha() else 0) for c in chars), 1, 0], np.int64)
+    return symbol, symbol > 0, _among(c for c in LEET if ord(c) < TABLE), _among(SEPARATORS)
 
 
 SYMBOLS, IS_LETTER, IS_SIGN, IS_SEPARATOR = _tables()
@@ -55,9 +68,9 @@ SYMBOLS, IS_LETTER, IS_SIGN, IS_SEPARATOR = _tables()
 LONG = 40
 #: Signs that are letters after a word too.
 ENDING = "$@+€£|("
-IS_OPEN = np.isin(np.arange(TABLE), [ord(c) for c in "!*"])
+IS_OPEN = _among("!*")
 #: Signs that end sentences or set words apart, where they follow a letter.
-IS_PUNCTUATION = np.isin(np.arange(TABLE), [ord(c) for c in "!|(+*"])
+IS_PUNCTUATION = _among("!|(+*")
 
 
 def code_points(text: str) -> np.ndarray:
@@ -65,8 +78,21 @@ def code_points(text: str) -> np.ndarray:
 
 
 def points(text: str) -> np.ndarray:
-    """Code points, those beyond the table as its last entry, which is a letter."""
-    return np.minimum(code_points(text), TABLE - 1).astype(np.int64)
+    """Code points, those beyond the table as one of its two last entries."""
+    p = code_points(text).astype(np.int64)
+    if len(far := np.flatnonzero(p >= TABLE)):
+        p[far] = np.where(letters()[0][p[far]], TABLE, TABLE + 1)
+    return p
+
+
+def unmixed(low: str) -> str:
+    """Words of Latin letters and others that look so, all in Latin letters."""
+
+    def latin(found) -> str:
+        new = found[0].translate(LOOKS) if MIXED.search(found[0]) else found[0]
+        return found[0] if any(0x370 <= ord(c) < 0x530 for c in new) else new
+
+    return WORD.sub(latin, low) if MIXED.search(low) else low
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -106,8 +132,10 @@ class Restorer:
     def text(self, text: str) -> str:
         low = text.lower()
         p = points(low)
-        if len(p) != len(low) or not len(p):
+        if not len(p):
             return low
+        if not low.isascii() and (plain := unmixed(low)) != low:
+            low, p = plain, points(plain)
         letter, sign = IS_LETTER[p], IS_SIGN[p]
         hits = np.flatnonzero(sign[:-1] & letter[1:] | letter[:-1] & (sign & ~IS_OPEN[p])[1:])
         real = code_points(low)
@@ -167,23 +195,25 @@ class Restorer:
     @staticmethod
     def _spaced(p: np.ndarray, word: np.ndarray) -> list[tuple[int, int]]:
         edge = np.concatenate([[False], word, [False]])
-        lone = edge[1:-1] & ~edge[:-2] & ~edge[2:]
-        if len(p) < 5:
+        at = np.flatnonzero(edge[1:-1] & ~edge[:-2] & ~edge[2:])
+        if len(at) < 3:
             return []
-        chain = lone[:-2] & lone[2:] & IS_SEPARATOR[p[1:-1]]
-        at = np.flatnonzero(chain)
-        if not len(at):
+        # letters of a chain are equally far apart, with one kind of separator only between two of them
+        gap = np.diff(at)
+        near = np.flatnonzero((gap > 1) & (gap <= WIDE + 1))
+        if len(near) < 2:
             return []
-        found, a, last = [], None, None
-        for i in at.tolist():
-            if last is not None and i == last + 2:
+        many = np.concatenate([[0], np.cumsum(IS_SEPARATOR[p])])
+        same = np.concatenate([[0], np.cumsum(p[1:] == p[:-1])])
+        near = near[(many[at[near + 1]] - many[at[near]] == gap[near] - 1) & (same[at[near + 1] - 1] - same[at[near] + 1] == gap[near] - 2)]
+        found, first, last = [], None, None
+        for i in [*near.tolist(), None]:
+            if i is not None and last is not None and i == last + 1 and gap[i] == gap[last]:
                 last = i
                 continue
-            if a is not None and last - a >= 2:
-                found.append((a, last + 3))
-            a = last = i
-        if last - a >= 2:
-            found.append((a, last + 3))
+            if last is not None and last > first:
+                found.append((int(at[first]), int(at[last + 1]) + 1))
+            first = last = i
         return found
 
     def token(self, token: str) -> str:
