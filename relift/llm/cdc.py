@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import documents, map_rows
-from .exchange import LAST, bucket_count, by_bucket, exchange, expand, least_owner, make_blocks, meet, unpack
+from .exchange import LAST, bucket_count, by_bucket, exchange, expand, least_owner, make_blocks, meet, pair_groups, unpack
 
 #: Bytes of a chunk, least and most; one blank in ``ONE_IN`` ends a chunk; bytes of a removed run at least.
 MIN_CHUNK, MAX_CHUNK, ONE_IN, MIN_RUN = 16, 192, 4, 100
@@ -107,16 +107,16 @@ def cut(raw: bytes, least: int = MIN_CHUNK, most: int = MAX_CHUNK, one_in: int =
 
 
 def digests(raw: bytes, ends: list[int]) -> np.ndarray:
-    """The chunks' digests and, of a text too short to make a run, the whole text's in the end."""
+    """The chunks' 128-bit digests, as rows of two words, and, of a text too short to make a run, the whole text's in the end."""
     import xxhash
 
-    h, a, out = xxhash.xxh3_64_intdigest, 0, []
+    h, a, out = xxhash.xxh3_128_digest, 0, []
     for b in ends:
         out.append(h(raw[a:b]))
         a = b
     if 0 < len(raw) < MIN_RUN:
         out.append(h(raw, 1))  # its own seed: it meets whole texts only
-    return np.array(out, np.uint64)
+    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
 
 
 def _owners(table: pa.Table) -> list[int]:
@@ -136,10 +136,10 @@ def _keys(blocks: DataFrame, buckets: int) -> DataFrame:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table = unpack(payload.as_py())
                 found = [(np.full(len(d), owner), d) for owner, (_, _, d) in zip(_owners(table), _chunks(table), strict=True)]
-                owner, key = np.concatenate([o for o, _ in found]), np.concatenate([d for _, d in found])
-                order = np.lexsort((owner, key))
-                first = order[np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))] if len(key) else order
-                yield by_bucket(block, buckets, key[first], owner[first].astype(np.int64))
+                owner, (key, more) = np.concatenate([o for o, _ in found]), np.concatenate([d for _, d in found]).T
+                order = np.lexsort((owner, more, key))
+                first = order[pair_groups(key[order], more[order])]
+                yield by_bucket(block, buckets, key[first], more[first], owner[first].astype(np.int64))
 
     return map_rows(blocks, work, "block long, bucket int, blob binary")
 
@@ -163,20 +163,14 @@ def removed_runs(owner: int, raw: bytes, ends: list[int], least: np.ndarray, sho
 def _apply(table: pa.Table, replies: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int, int]]]]:
     """For each row of a block its bytes and removed runs."""
     owners, rows = _owners(table), list(_chunks(table))
-    key = np.concatenate([d for _, _, d in rows]) if rows else np.zeros(0, np.uint64)
-    mine = np.repeat(np.array(owners, np.int64), [len(d) for _, _, d in rows])
-    least = np.full(len(key), LAST)
-    order = np.argsort(key, kind="stable")
-    back = key[order]
-    if len(key):  # the least owner in this block, then in all
-        first = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1]]))
-        least[order] = np.repeat(np.minimum.reduceat(mine[order], first), np.diff(np.append(first, len(key))))
-    if replies:
-        shared, owner = (np.concatenate(c) for c in zip(*(expand(b, "<u8", "<i8") for b in replies), strict=True))
-        by = np.argsort(shared)
-        shared, owner = shared[by], owner[by]
-        at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
-        least = np.where(shared[at] == key, np.minimum(least, owner[at]), least)
+    told = [np.concatenate(c) for c in zip(*(expand(b, "<u8", "<u8", "<i8") for b in replies), strict=True)] if replies else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
+    # the block's own chunks, then what others say of them: the least owner of each digest counts
+    key, more = (np.concatenate([*(d[:, k] for *_, d in rows), told[k]]) for k in (0, 1))
+    who = np.concatenate([np.repeat(np.array(owners, np.int64), [len(d) for *_, d in rows]), told[2]])
+    order = np.lexsort((more, key))
+    first, least = pair_groups(key[order], more[order]), np.full(len(key), LAST)
+    if len(key):
+        least[order] = np.repeat(np.minimum.reduceat(who[order], first), np.diff(np.append(first, len(key))))
     a = 0
     for who, (raw, ends, d) in zip(owners, rows, strict=True):
         yield raw, removed_runs(who, raw, ends, least[a : a + len(d)])
@@ -185,7 +179,7 @@ def _apply(table: pa.Table, replies: list[bytes]) -> Iterator[tuple[bytes, list[
 
 def _met(blocks: DataFrame, work, schema: str) -> DataFrame:
     buckets = bucket_count(blocks)
-    return meet(blocks, exchange(_keys(blocks, buckets), ("<i8",), least_owner, buckets), work, schema)
+    return meet(blocks, exchange(_keys(blocks, buckets), ("<u8", "<i8"), least_owner, buckets), work, schema)
 
 
 def removed(docs: DataFrame) -> DataFrame:

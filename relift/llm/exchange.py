@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import folder, map_rows, stored
+from .common import folder, map_rows, remember, stored
 
 #: Bytes of text that close a block.
 BLOCK_BYTES = 4_000_000
+#: Bytes of input for one bucket of dealt blocks; Spark's own bound on buckets.
+BUCKET_BYTES, MAX_BUCKETS = 128_000_000, 100_000
 #: What a NULL doc_id counts as where ids are compared: larger than all others.
 LAST = (1 << 63) - 1
 
@@ -70,21 +72,32 @@ def make_blocks(df: DataFrame, text: str = "text", limit: int = BLOCK_BYTES, dea
         if held:
             yield {"block": [number], "payload": [pack(held)]}
 
-    return (bucketed if dealt else stored)(map_rows(df, work, "block long, payload binary"), "blocks")
+    made = map_rows(df, work, "block long, payload binary")
+    return bucketed(made, "blocks", input_bytes(df)) if dealt else stored(made, "blocks")
 
 
-def bucketed(df: DataFrame, what: str) -> DataFrame:
-    """Write rows to the shared folder, dealt by block into as many buckets as the session has partitions.
+def bucketed(df: DataFrame, what: str, size: int) -> DataFrame:
+    """Write rows to the shared folder, dealt by block into buckets: one for ``BUCKET_BYTES`` of input, the session's partitions at least.
 
-    Meeting replies by block then shuffles the replies only.
+    Rows are shuffled by block first, so that a bucket is one file.  Meeting replies by block then
+    shuffles the replies only.
     """
     spark = df.sparkSession
     name = f"relift_{what}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(buckets, "block").option("path", f"{folder(spark)}/{name}").saveAsTable(name)
+    path = f"{folder(spark)}/{name}"
+    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
+    remember("folder", path)
+    remember("table", name)
+    df.repartition(buckets, "block").write.format("parquet").bucketBy(buckets, "block").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """What Spark takes the input's size for; 0 if it does not know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def squeeze(*columns: np.ndarray) -> bytes:
     """Columns of one length, byte plane by byte plane, compressed."""
     import zstandard
@@ -162,15 +175,21 @@ def groups(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
 
 
-def least_owner(key: np.ndarray, block: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For keys of more than one block: the least owner of all."""
-    first = groups(key)
-    if not len(first):
-        return first, [owner]
-    count = np.diff(np.append(first, len(key)))
-    least = np.repeat(np.minimum.reduceat(owner, first), count)
-    rows = np.flatnonzero(np.repeat(count, count) > 1)
-    return rows, [least[rows]]
+def pair_groups(key: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """First places of runs of equal pairs in arrays sorted by them."""
+    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])])) if len(key) else np.zeros(0, int)
+
+
+def least_owner(key: np.ndarray, block: np.ndarray, more: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For 128-bit digests (``key`` and ``more``) of several blocks: the least owner of all, to those that have a larger one."""
+    if not len(key):
+        return np.zeros(0, np.int64), [more, owner]
+    order = np.lexsort((more, key))
+    first = pair_groups(key[order], more[order])
+    least = np.empty(len(key), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(owner[order], first), np.diff(np.append(first, len(key))))
+    rows = np.flatnonzero(least < owner)
+    return rows, [more[rows], least[rows]]
 
 
 def meet(blocks: DataFrame, replies: DataFrame, work: Callable[[int, pa.Table, list[bytes], list[bytes]], dict | pa.Table], schema: str | StructType, state: DataFrame | None = None) -> DataFrame:
