@@ -11,18 +11,21 @@ A pair at the similarity has a band in common but for a chance of about (1 - 0.8
 2. Candidates in one block are joined into local groups, and each band key leaves the block once.  Keys
    of several blocks link local groups; components of these links are the coarse groups, outside which
    no candidates are.
-3. Each coarse group's texts meet in one task, large groups in one task for each pair of chunks.  There every pair not yet connected is estimated by its registers, corrected for
-   registers that agree by chance, and confirmed on the full sets.
+3. Each coarse group's sketches meet, large groups in one task for each pair of chunks.  There pairs that
+   have a band in common and are not yet connected are estimated by their registers, corrected for
+   registers that agree by chance; likely ones make the close groups.
+4. The texts of each close group meet in the same way, and its pairs are confirmed on the full sets.
 
 Defined cases: NULL and empty texts and texts without words have an empty set and no links; rows with a
 NULL doc_id have no links, a NULL component and are kept; doc_id is a key: rows that repeat it with the
-same text are one document, and where their texts differ, the links of any one of them stand for all; an
-empty table gives no rows.
+same text are one document, and where their texts differ, the links of any one of them stand for all; texts of
+any length are sketched whole; other columns are not read, and a filter hands them on; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,8 @@ BANDS, ROWS = 60, 6
 REGISTERS, MANTISSA = BANDS * ROWS, 10
 #: Sets below this size are compared without an estimate; standard deviations that an estimate may be too low by.
 SMALL, DEVIATIONS = 150, 5.0
-#: Texts in a chunk of a large coarse group, at least and most; in between it grows with the group's root.
-CHUNK = (256, 4000)
+#: Rows in a chunk of a large group, at least and most; in between it grows with the group's root.
+CHUNK = (96, 4000)
 ODD, MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Which full bucket an empty one takes its register from: the one first in the row's order.
 CHOICE = np.random.default_rng(11).permuted(np.tile(np.arange(REGISTERS, dtype=np.uint16), (REGISTERS, 1)), axis=1)
@@ -172,7 +175,7 @@ def _sketch_blocks(blocks: DataFrame, words: int, buckets: int) -> DataFrame:
                 out = {"kind": [2], "block": [block], "bucket": [0], "blob": [squeeze(np.concatenate([[len(at), len(ids)], least, sizes, ids, rows]).astype("<i8"))]}
                 if at:
                     made = by_bucket(block, buckets, *np.frombuffer(b"".join(at), "<u8").reshape(-1, 2).T, np.array(least, np.int64))
-                    out["blob"] += [*made["blob"], pack([pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(sketches, pa.binary())], ["rep", "sketch"])])]
+                    out["blob"] += [*made["blob"], pack([pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["rep", "size", "sketch"])])]
                     out["kind"] += [1] * len(made["block"]) + [3]
                     out["block"] += [*made["block"], block]
                     out["bucket"] += [*made["bucket"], 0]
@@ -259,29 +262,95 @@ def _columns(df: DataFrame, kinds: tuple[str, ...], names: tuple[str, ...]) -> D
     return map_rows(df.select("block", "blob"), flat, "block long, " + ", ".join(f"{n} long" for _, n in wanted))
 
 
-def confirm(ids: list[int], sets: list[np.ndarray], similar: int) -> list[tuple[int, int]]:
-    """Confirmed links that connect all of a group's texts that links connect."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    sketch = np.stack([registers(s) for s in sets])
-    joined, found = Sets(n), []
-    root = np.arange(n)
-    for i in range(1, n):
-        small, large = np.minimum(size[:i], size[i]), np.maximum(size[:i], size[i])
-        likely = estimate(sketch[i], sketch[:i])
+def candidates(sketch: np.ndarray) -> Callable[[int], np.ndarray]:
+    """A function that gives the earlier rows with which a row has a band in common."""
+    n = len(sketch)
+    flat = band_keys(sketch).ravel()
+    order = np.argsort(flat, kind="stable")  # rows of a key ascend
+    first = groups(flat[order])
+    start, place, row = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64), order // BANDS
+    start[order] = np.repeat(first, np.diff(np.append(first, len(flat))))
+    place[order] = np.arange(len(flat))
+    start, place = start.reshape(n, BANDS), place.reshape(n, BANDS)
+
+    def before(i: int) -> np.ndarray:
+        spans = [row[a:b] for a, b in zip(start[i].tolist(), place[i].tolist(), strict=True) if a < b]
+        return np.unique(np.concatenate(spans)) if spans else row[:0]
+
+    return before
+
+
+def connect(ids: list[int], sketch: np.ndarray, size: np.ndarray, similar: int, part: list[int], sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all that links connect; estimated ones, or with ``sets`` confirmed ones.
+
+    Pairs are those with a band in common and not yet connected; of several parts, those between two.
+    """
+    found, root, parts, before = [], np.arange(len(ids)), np.array(part), candidates(sketch)
+    across = len(set(part)) > 1
+    for i in range(1, len(ids)):
+        others = before(i)
+        others = others[(root[others] != root[i]) & ((parts[others] != parts[i]) | (not across))]
+        if not len(others):
+            continue
+        small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+        likely = estimate(sketch[i], sketch[others])
         slack = DEVIATIONS * np.sqrt(similar / 100 * (1 - similar / 100) / np.minimum(REGISTERS, large))
-        maybe = (100 * small >= similar * large) & ((small < SMALL) | (likely >= similar / 100 - slack)) & (root[:i] != root[i])
-        for j in np.flatnonzero(maybe)[np.argsort(-likely[maybe], kind="stable")].tolist():
+        maybe = (100 * small >= similar * large) & ((small < SMALL) | (likely >= similar / 100 - slack))
+        for j in others[maybe][np.argsort(-likely[maybe], kind="stable")].tolist():
             if root[j] == root[i]:
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= similar * (size[i] + size[j] - both):
-                found.append((ids[i], ids[j]))
-                low, high = sorted((int(root[i]), int(root[j])))
-                root[root == high] = low
+            if sets is not None:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both < similar * (size[i] + size[j] - both):
+                    continue
+            found.append((ids[i], ids[j]))
+            low, high = sorted((int(root[i]), int(root[j])))
+            root[root == high] = low
     return found
 
 
+def _by_pairs(blocks: DataFrame, members: DataFrame, read: Callable[[pa.Table], Iterator[tuple[int, bytes]]], judge: Callable[..., list[tuple[int, int]]], tasks: int, what: str) -> DataFrame:
+    """Links (u, v) that ``judge`` finds in groups: ``members`` has block, rep and grp, ``read`` the reps' bytes in a block.
+
+    Small groups share tasks by hash; a large one is dealt into chunks, and each pair of chunks is a
+    task's work.  ``judge`` gets reps, bytes and chunks.
+    """
+    # written, so that the join has two plain shuffles whose hot keys Spark can split
+    counts = stored(members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    chunk = F.greatest(F.lit(CHUNK[0]), F.least(F.lit(CHUNK[1]), F.sqrt("n") * 3))
+    active = members.join(counts, "grp").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    wanted = active.groupBy("block").agg(F.collect_list(F.struct("rep", "grp", "chunks", "chunk")).alias("wanted"))
+    wanted = wanted.select("block", F.to_json("wanted").cast("binary").alias("blob"))
+
+    def send(block: int, table: pa.Table, replies: list[bytes], _) -> dict:
+        import json
+
+        out = {k: [] for k in ("task", "grp", "a", "b", "chunk", "rep", "raw")}
+        need = {x["rep"]: x for blob in replies for x in json.loads(blob)}
+        for rep, raw in read(table) if need else ():
+            if (x := need.pop(rep, None)) is None:
+                continue
+            n, c = x["chunks"], x["chunk"]
+            for a, b in [(min(c, k), max(c, k)) for k in range(n)]:
+                for column, value in zip(out.values(), (hash((x["grp"], a, b)) % (16 * tasks), x["grp"], a, b, c, rep, raw), strict=True):
+                    column.append(value)
+        return out
+
+    def check(table: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        by: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("grp", "a", "b")), strict=True)):
+            by.setdefault(key, []).append(i)
+        reps, chunks, raws = table.column("rep").to_pylist(), table.column("chunk").to_pylist(), table.column("raw")
+        for _, rows in sorted(by.items()):
+            rows.sort(key=lambda i: reps[i])
+            links += judge([reps[i] for i in rows], [raws[i].as_py() for i in rows], [chunks[i] for i in rows])
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    sent = meet(blocks, wanted, send, "task int, grp long, a int, b int, chunk int, rep long, raw binary")
+    return stored(sent.repartition(4 * tasks, "task").groupBy("task").applyInArrow(check, "u long, v long"), what)
+
+
 def groups_of(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, blocks: DataFrame | None = None) -> DataFrame:
     """(block, doc_id, n_shingles, component_id), a row for every row of ``docs`` with a doc_id."""
     ship(docs.sparkSession)
@@ -307,44 +376,29 @@ def groups_of(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, block
     # the least document of each distinct set, with its coarse group
     firsts = _columns(local.where("kind = 4"), ("<i8", "<i8"), ("rep", "grp")).join(coarse.withColumnRenamed("node", "grp"), "grp", "left").select("block", "rep", F.coalesce("component", "grp").alias("grp"))
     firsts = stored(firsts.dropDuplicates(["rep"]), "sets")
-    # written, so that the join has two plain shuffles whose hot keys Spark can split
-    counts = stored(firsts.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    # groups share tasks by hash; a large one gets a task for each pair of its chunks
-    chunk = F.greatest(F.lit(CHUNK[0]), F.least(F.lit(CHUNK[1]), F.sqrt("n") * 6))
-    active = firsts.join(counts, "grp").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    wanted = active.groupBy("block").agg(F.collect_list(F.struct("rep", "grp", "chunks", "chunk")).alias("wanted"))
-    wanted = wanted.select("block", F.to_json("wanted").cast("binary").alias("blob"))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
 
-    def send(block: int, table: pa.Table, replies: list[bytes], _) -> dict:
-        import json
+    def sketched(table: pa.Table) -> Iterator[tuple[int, bytes]]:
+        for rep, size, sketch in zip(table.column("rep").to_pylist(), table.column("size").to_pylist(), table.column("sketch").to_pylist(), strict=True):
+            yield rep, size.to_bytes(8, "little") + sketch
 
-        out = {k: [] for k in ("task", "grp", "a", "b", "rep", "raw")}
-        need = {x["rep"]: x for blob in replies for x in json.loads(blob)}
-        for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True):
-            if (x := need.pop(doc_id, None)) is None:
-                continue
-            n, c = x["chunks"], x["chunk"]
-            for a, b in [(min(c, k), max(c, k)) for k in range(n)]:
-                for column, value in zip(out.values(), (hash((x["grp"], a, b)) % (4 * tasks), x["grp"], a, b, doc_id, text.encode("utf-8", "surrogatepass")), strict=True):
-                    column.append(value)
-        return out
+    def estimated(reps: list[int], raws: list[bytes], chunks: list[int]) -> list[tuple[int, int]]:
+        sketch = np.stack([np.frombuffer(r, np.uint16, REGISTERS, 8) for r in raws])
+        return connect(reps, sketch, np.array([int.from_bytes(r[:8], "little") for r in raws]), similar, chunks)
 
-    sent = meet(blocks, wanted, send, "task int, grp long, a int, b int, rep long, raw binary")
+    def written(table: pa.Table) -> Iterator[tuple[int, bytes]]:
+        for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True):
+            yield doc_id, (text or "").encode("utf-8", "surrogatepass")
 
-    def check(table: pa.Table) -> pa.Table:
-        hashes, links = WordHashes(), []
-        by: dict[tuple, list[int]] = {}
-        keys = zip(*(table.column(c).to_pylist() for c in ("grp", "a", "b")), strict=True)
-        for i, key in enumerate(keys):
-            by.setdefault(key, []).append(i)
-        reps, raws = table.column("rep").to_pylist(), table.column("raw")
-        for (_, a, b), rows in sorted(by.items()):
-            rows.sort(key=lambda i: reps[i])
-            links += confirm([reps[i] for i in rows], [shingle_set(raws[i].as_py(), words, hashes) for i in rows], similar)
-        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+    def confirmed(reps: list[int], raws: list[bytes], chunks: list[int]) -> list[tuple[int, int]]:
+        hashes = WordHashes()
+        sets = [shingle_set(r, words, hashes) for r in raws]
+        return connect(reps, np.stack([registers(x) for x in sets]), np.array([len(x) for x in sets]), similar, chunks, sets)
 
-    links = stored(sent.repartition(tasks, "task").groupBy("task").applyInArrow(check, "u long, v long"), "links")
+    sketches = made.where("kind = 3").select("block", F.col("blob").alias("payload"))
+    close = components(_by_pairs(sketches, firsts, sketched, estimated, tasks, "likely"))
+    tight = stored(firsts.drop("grp").join(close.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep"), "tight")
+    links = _by_pairs(blocks, tight, written, confirmed, tasks, "links")
     found = components(links)
     # each block's sets, then the first of an equal set, then its component, then the set's documents
     last = sets.join(equal, "rep", "left").withColumn("first", F.coalesce("first", "rep")).join(found.select(F.col("node").alias("first"), "component"), "first", "left")
