@@ -13,10 +13,13 @@ word takes most shingles of a short part; so a passage with most shingles of the
 lacks one word of the item at most, or a fifth of the words of its shorter part, and no part wholly.
 
 Items are indexed in blocks of bounded size, with document frequencies and lengths of the whole
-benchmark; texts are probed by one block after another and never shuffled.
+benchmark; texts are probed by one block after another and never shuffled.  A block takes one scan of
+the texts, and has room for 16 MB of items: benchmarks within that are one block.
 
 Defined cases: NULL and empty texts hold nothing; items without words are never found; items and
-documents that repeat are reported each; an empty benchmark finds nothing.
+documents that repeat are reported each; texts of any length are windows from start to end; of a text's
+passages with equal scores for an item the first is reported; other columns are not read, and a filter
+hands them on; an empty benchmark finds nothing, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import documents, map_rows, map_texts, steps
+from .common import documents, map_rows, map_texts, steps, stored
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach; share of its shingles; their words.
 THRESHOLD, OVERLAP, SHINGLE = 0.7, 0.8, 5
 #: Items and bytes of text in one block of the index; postings in one block of a list.
-BLOCK_ITEMS, BLOCK_BYTES, POSTINGS = 20_000, 16_000_000, 64
+BLOCK_ITEMS, BLOCK_BYTES, POSTINGS = 200_000, 16_000_000, 64
 #: Words of the shortest class's items at most; items in a range, at least; ranges of a class, at most.
 SHORT, RANGE, RANGES = 16, 8, 64
 #: Segments of text whose bounds are held at once.
@@ -251,11 +254,11 @@ def blocks(items: DataFrame) -> Iterator[Block]:
                 split = [tokens(t) for t in texts]
                 yield {"item_id": ids, "text": texts, "n": [len(w) for w in split], "terms": pa.array([sorted(set(w)) for w in split], pa.list_(pa.string()))}
 
-    worded = map_rows(items, words, "item_id long, text string, n long, terms array<string>").where("n > 0")
+    worded = stored(map_rows(items, words, "item_id long, text string, n long, terms array<string>").where("n > 0"), "items")
     total = worded.agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     if not total.rows:
         return
-    counts = worded.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counts = stored(worded.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
     many = max(math.ceil(total.rows / BLOCK_ITEMS), math.ceil(total.bytes / BLOCK_BYTES))
     for k in range(many):
         some = worded.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(many)) == k)
