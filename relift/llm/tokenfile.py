@@ -13,7 +13,8 @@ by (shard, number).  Files are rows (shard, number, bytes) of a Parquet table in
 written by Spark's committer, so a lost task leaves nothing half written.
 
 Defined cases: NULL and empty texts are the end id alone; repeated doc_ids keep one entry each,
-ordered by their frames; an empty table has no files.
+ordered by their texts; texts of any length are one frame; other columns are not read; an empty table
+has no files.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, documents, map_rows, steps, stored
@@ -34,8 +35,8 @@ from .tokens import Encoder
 
 MAGIC = b"TKZ1"
 END_ID = 2
-#: Rows that the dictionary is trained on, at most about; its size in bytes.
-SAMPLE_ROWS, DICTIONARY_BYTES = 1000, 65_536
+#: Rows that the dictionary is trained on, at most about, and bytes of one's text; the dictionary's size in bytes.
+SAMPLE_ROWS, SAMPLE_TEXT, DICTIONARY_BYTES = 1000, 65_536, 65_536
 #: A file closes beyond so many bytes of frames.
 FILE_BYTES = 8_000_000
 #: Documents a shard, where there are more than the session's shuffle partitions can share.
@@ -62,7 +63,7 @@ def train_dictionary(docs: DataFrame, path: str | None = None, end_id: int = END
             for _, texts in steps(batch.column(0), batch.column(1)):
                 yield {"ids": [ids.astype(f"<u{width}").tobytes() for ids in encoder.encode(texts, end_id)]}
 
-    sample = [row.ids for row in map_rows(bounded(documents(docs), sample_rows, "dictionary").orderBy("doc_id"), work, "ids binary").collect()]
+    sample = [row.ids for row in map_rows(bounded(documents(docs), sample_rows, "dictionary").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT).orderBy("doc_id"), work, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(size, sample).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -115,73 +116,64 @@ class TokenFile:
 
 
 def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, bytes]:
-    """(files, dictionary): files has shard, number, docs, ids and bytes, and lies in the shared folder."""
+    """(files, dictionary): files has shard, number, docs, ids and bytes, and lies in the shared folder.
+
+    Documents are dealt into ranges of doc_id, which Spark finds by its own sample; a range is a shard.
+    """
     docs = documents(docs)
     spark = docs.sparkSession
     width = _width(path)
     dictionary = train_dictionary(docs, path, end_id, width=width)
-    n = docs.count()
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / SHARD_ROWS))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards))) if n and shards > 1 else []
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / SHARD_ROWS))
 
-    def frames(batches) -> Iterator[dict]:
+    def files(batches) -> Iterator[dict]:
         import zstandard
+        from pyspark import TaskContext
 
+        task = TaskContext.get()
+        shard = task.partitionId() if task else 0
         encoder, zip_ = Encoder.held(path), zstandard.ZstdCompressor(level=3, **_dict(dictionary))
-        edges = np.array(cuts)
-        for batch in batches:
-            for names, texts in steps(batch.column(0), batch.column(1)):
-                ids = encoder.encode(texts, end_id)
-                keys = np.array([-np.inf if x is None else x for x in names], float)
-                yield {"shard": np.searchsorted(edges, keys, "right").astype(np.int32), "doc_id": names, "n": [len(x) for x in ids], "frame": [zip_.compress(x.astype(f"<u{width}").tobytes()) for x in ids]}
-
-    def files(batches) -> Iterator[dict]:
-        held, size, shard, number, before = [], 0, None, 0, 0
+        held, size, number, before = [], 0, 0, 0
 
         def close() -> dict:
             total = sum(n for _, n, _ in held)
             return {"shard": [shard], "number": [number], "docs": [len(held)], "ids": [total], "bytes": [file_bytes(held, before, dictionary, width)]}
 
         for batch in batches:
-            for at, doc_id, n, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (at != shard or size >= FILE_BYTES):
-                    yield close()
-                    number, before = number + 1, before + sum(n for _, n, _ in held)
-                    held, size = [], 0
-                if at != shard:
-                    shard, number, before = at, 0, 0
-                held.append((doc_id, n, frame))
-                size += len(frame)
+            for names, texts in steps(batch.column(0), batch.column(1)):
+                for doc_id, ids in zip(names, encoder.encode(texts, end_id), strict=True):
+                    if held and size >= FILE_BYTES:
+                        yield close()
+                        number, before = number + 1, before + sum(n for _, n, _ in held)
+                        held, size = [], 0
+                    frame = zip_.compress(ids.astype(f"<u{width}").tobytes())
+                    held.append((doc_id, len(ids), frame))
+                    size += len(frame)
         if held:
             yield close()
 
-    made = map_rows(docs, frames, "shard int, doc_id long, n long, frame binary")
-    dealt = made.repartitionById(shards, F.col("shard")) if hasattr(made, "repartitionById") else made.repartition(shards, "shard")
-    ordered = dealt.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
+    ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return stored(map_rows(ordered, files, "shard int, number int, docs long, ids long, bytes binary"), "tokens"), dictionary
 
 
 def read(files: DataFrame, dictionary: bytes) -> DataFrame:
     """One row a document, read back from the files: doc_id, start, n_tokens, ids_crc32.
 
-    The ids before a shard come from one total a shard, summed by Spark; those before a file stand
-    in its head.
+    The ids before a shard are the running sum of one total a shard; those before a file stand in its head.
     """
-    totals = files.groupBy("shard").agg(F.sum("ids").alias("ids")).orderBy("shard").collect()
-    base, ids = {}, 0
-    for row in totals:
-        base[row.shard] = ids
-        ids += row.ids
+    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # broadcast: 16 bytes a shard, which is SHARD_ROWS documents: 3 MB for 10**10 documents
+    base = files.groupBy("shard").agg(F.sum("ids").alias("ids")).select("shard", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("base"))
 
     def work(batches) -> Iterator[dict]:
         for batch in batches:
-            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for before, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 file = TokenFile(data.as_py(), dictionary)
                 ids = [file.ids(i) for i in range(file.n)]
-                starts = (base[shard] + file.before + file.index["start"][:-1].astype(np.int64)).tolist()
+                starts = (before + file.before + file.index["start"][:-1].astype(np.int64)).tolist()
                 yield {"doc_id": [file.doc_id(i) for i in range(file.n)], "start": starts, "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4")) for x in ids]}
 
-    return map_rows(files.select("shard", "bytes"), work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_rows(files.join(F.broadcast(base), "shard").select("base", "bytes"), work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def short_lookup(files: DataFrame, dictionary: bytes, doc_id: int) -> list[list[int]]:
