@@ -1,11 +1,18 @@
-"""A corpus pipeline of five stages over ``documents``: toxic, near-duplicate, repeated and leaked text goes, the rest is packed."""
+"""A corpus pipeline of five stages over ``documents``: toxic, near-duplicate, repeated and leaked text goes, the rest is packed.
+
+Defined cases: NULL and empty texts pass the first four stages and are packed as their end id; rows with
+a NULL doc_id pass them too, unless their text is toxic or leaked; repeated rows are judged each, and
+near-duplicate groups keep all rows of their least doc_id; texts of any length are judged whole; further
+columns, whatever their names, are handed on to the last stage; empty documents give no rows, and empty
+labels or benchmark let all documents pass their stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from relift.llm import cdc, decontaminate, neardup, packing, toxicity
-from relift.llm.common import stored
+from relift.llm.common import scope, stored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again.
+
+    What a stage writes for itself is removed when the stage's result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
