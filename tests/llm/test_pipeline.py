@@ -74,3 +74,28 @@ def test_queries_return_the_promised_columns(spark, folder):
     for name, columns in want.items():
         df = found[name](spark, folder[0])
         assert df.columns[: len(columns)] == columns and df.count() >= len(folder[1])
+
+
+def test_no_documents(spark, folder, tmp_path):
+    import shutil
+
+    at = str(tmp_path / "none")
+    for name in ("labels", "benchmark"):
+        shutil.copytree(f"{folder[0]}/{name}.parquet", f"{at}/{name}.parquet")
+    spark.read.parquet(f"{folder[0]}/documents.parquet").where("doc_id < 0").write.parquet(f"{at}/documents.parquet")
+    assert corpus_pipeline.run(spark, at).count() == 0
+
+
+def test_scopes_remove_what_operators_write(spark, folder):
+    from pathlib import Path
+
+    from relift.llm import cdc, neardup, suffix
+    from relift.llm.common import folder as shared
+    from relift.llm.common import scope
+
+    at, docs = Path(shared(spark).removeprefix("file://")), spark.read.parquet(f"{folder[0]}/documents.parquet")
+    before, tables = set(at.iterdir()), spark.catalog.listTables()
+    with scope(spark):
+        assert neardup.near_duplicates(docs).count() == suffix.removals(docs).count() == docs.count() and cdc.removed(docs).count()
+        assert set(at.iterdir()) > before
+    assert set(at.iterdir()) == before and spark.catalog.listTables() == tables

@@ -161,3 +161,109 @@ def test_viterbi_is_exact():
         for b in reversed(back):
             label.append(int(b[label[-1]]))
         assert got[w.owner == i].tolist() == label[::-1]
+
+
+def test_letters_of_all_planes_and_case_by_code_point(spark):
+    rng = random.Random(15)
+    turkish = lambda: " ".join(rng.choices("istanbul güzel bir şehir İzmir".split(), k=20))
+    other = lambda: " ".join(rng.choices("lorem ipsum dolor amet".split(), k=20))
+    rows = [(i, turkish() if i % 2 else other(), "tr" if i % 2 else "la", 1.0) for i in range(60)]
+    rows += [(900, "😀😀 123", None, 1.0), (901, "𝟙𝟚𝟛 ٣", None, 1.0), (902, "İSTANBUL GÜZEL BİR ŞEHİR", None, 1.0), (903, "𠀀𠀁", None, 1.0)]
+    got = {r.doc_id: r for r in langid.language(spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")).collect()}
+    assert (got[900].lang_pred, got[901].lang_pred, got[902].lang_pred) == ("und", "und", "tr") and got[903].lang_pred != "und"
+    a, b = langid.words(["İstanbul GÜZEL BİR"]), langid.words(["istanbul güzel bir"])
+    assert (a.grams == b.grams).all() and langid.SCRIPTS[langid.words(["𠀀"]).script[0]] == "han"
+
+
+def test_two_hundred_languages():
+    rng = np.random.default_rng(1)
+    model = langid.Model([f"l{i:03}" for i in range(200)], rng.normal(size=(langid.BUCKETS, 200)).astype(np.float32), np.ones((len(langid.SCRIPTS), 200), bool))
+    w, s = model.scored(["one word or two", "another text", None])
+    for k in (5, 130, 199):
+        s[:] = -5.0
+        s[:, k] = 0.0
+        assert set(model.label(w, s, 3).tolist()) == {k}
+
+
+def plain_label(model, text):
+    """Words by script ranges, scores word by word, Viterbi without arrays over texts; (language, score) of the whole."""
+    words, now = [], ""
+    for c in (text or "") + " ":
+        if c.isalpha():
+            now += c.lower()[0]
+        elif now:
+            words.append(now)
+            now = ""
+    if not words:
+        return "und"
+    score = []
+    for word in words:
+        ends = [int(langid.words([word]).grams[k]) for k in range(len(word) + 1)]
+        own = sum(model.cost[g].astype(float) for g in ends)
+        own = np.maximum(own - own.max(), -langid.WORD_CAP)
+        code = ord(word[0])
+        script = [name for first, name in langid.RANGES if first <= code][-1]
+        score.append(np.where(model.allowed[langid.SCRIPTS.index(script)], own, -1e4))
+    paths = {k: (score[0][k], [k]) for k in range(len(model.langs))}
+    for own in score[1:]:
+        paths = {k: max(((c - model.switch * (j != k) + own[k], [*p, k]) for j, (c, p) in paths.items()), key=lambda x: x[0]) for k in paths}
+    label = max(paths.values(), key=lambda x: x[0])[1]
+    size = [sum(len(w) for w, x in zip(words, label, strict=True) if x == k) for k in range(len(model.langs))]
+    return model.langs[int(np.argmax(size))]
+
+
+def test_languages_equal_plain_labels(spark):
+    rng = random.Random(16)
+    make = {"aa": "bana kola tima rova".split(), "bb": "sprüx greft knorz wölk".split(), "ru": "привет мир дом вода".split(), "uk": "привіт світ дім їжа".split()}
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(make[k], k=25)), k) for i, k in enumerate(list(make) * 20)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    texts = [" ".join(w for _ in range(rng.randint(1, 4)) for w in rng.choices(make[rng.choice(list(make))], k=rng.randint(1, 9))) for _ in range(60)] + ["", None, "12 ?", "xyz", "мирbana"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(frame(spark, list(enumerate(texts))), model).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain_label(model, t) for t in texts]
+
+
+def plain_fit(rows, labels):
+    """Log-count ratios by counting, and the hinge loss's dual by projected steps over the whole matrix."""
+    n, features = len(rows), sorted({int(f) for r in rows for f in r})
+    count = {f: [1 + sum(f in set(r.tolist()) for r, y in zip(rows, labels, strict=True) if y == k) for k in (0, 1)] for f in features}
+    many = [sum(y == k for y in labels) + 2 for k in (0, 1)]
+    ratio = {f: np.log(count[f][1] / many[1]) - np.log(count[f][0] / many[0]) for f in features}
+    x = np.array([[ratio[f] if f in set(r.tolist()) else 0.0 for f in features] for r in rows])
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    x = np.hstack([np.divide(x, norm, out=np.zeros_like(x), where=norm > 0), np.ones((n, 1))])
+    sign = np.where(np.array(labels) == 1, 1.0, -1.0)
+    top = np.array([n / (2 * sum(z == y for z in labels)) for y in labels])
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T
+    alpha, step = np.zeros(n), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, top)
+    return ratio, x @ (x.T @ (alpha * sign))
+
+
+def test_fit_equals_plain_fit():
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(1, 12))).astype(np.int32) for _ in range(60)]
+    labels = [int(len(set(r.tolist()) & set(range(12))) > 2) for r in rows]
+    model, (ratio, margin) = fit(rows, labels, rounds=3000), plain_fit(rows, labels)
+    assert all(abs(model.ratio[f] - r) < 1e-5 for f, r in ratio.items())
+    assert np.abs(model.margin(rows) - margin).max() < 0.02
+
+
+def test_hidden_words_of_other_forms(restorer):
+    for hidden, plain in {"i  d  i  o  t": "idiot", "і1diоt": "idiot", "ѕtupid": "stupid", "“1d10t”—good": "“idiot”—good", "w0rthle$$ scum": "worthless scum", "m___o___r___o___n": "moron"}.items():
+        assert restorer.text(hidden) == plain, hidden
+    for same in ("это слово", "a - b - c", "I, a", "naïve — “quoted”", "1  2  3", "日本語 テスト"):
+        assert restorer.text(same) == same.lower()
+
+
+def test_filter_on_odd_documents(spark, odd, odd_docs, no_docs):
+    known = spark.createDataFrame([(i, int(i % 9 == 0), int(i % 9 == 0)) for i in range(10, 60)], "doc_id long, quality int, toxic int")
+    kept = toxicity.without_toxic(odd_docs, known)
+    assert kept.schema == odd_docs.schema and {400, 401, 402} <= {r.doc_id for r in kept.collect()}
+    assert toxicity.without_toxic(no_docs, known).count() == 0
+    assert toxicity.without_toxic(odd_docs, known.where("doc_id < 0")).count() == len(odd)
+
+
+def test_spans_of_no_documents(spark, no_docs, odd_docs):
+    model = langid.Model(["a"], np.zeros((langid.BUCKETS, 1), np.float32), np.ones((len(langid.SCRIPTS), 1), bool))
+    assert langid.label_spans(no_docs, model).count() == 0 and langid.label_spans(odd_docs, model).count() > 0

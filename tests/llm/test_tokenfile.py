@@ -35,3 +35,7 @@ def test_another_dictionary_is_refused(spark, odd_docs):
 
 def test_empty(no_docs):
     assert read(*write(no_docs)).count() == 0
+
+
+def test_lookup_in_no_files(spark, no_docs):
+    assert short_lookup(*write(no_docs), 1) == []
