@@ -14,7 +14,7 @@ from .plans.mapping import parse_mapping, read_mapping
 from .plans.rules import Mapping
 from .sources.rdf import Graph
 from .sources.sink import sink_for
-from .sources.tables import Catalog, check_references, jdbc_options
+from .sources.tables import Catalog, check_references, jdbc_options, opened
 
 __all__ = ["Graph", "analyze_mapping", "compare_databases", "graph_of", "invert", "reconstruct", "reconstruct_tables", "statements_of"]
 
@@ -32,19 +32,21 @@ def _graph(spark: SparkSession, graph: Graph | DataFrame | str) -> Graph:
     return Graph.open(spark, graph) if isinstance(graph, str) else Graph(graph)
 
 
-def _catalog(spark: SparkSession, mapping: Mapping, source: Catalog | str | None) -> Catalog | None:
-    """The source, explicit or as the mapping names it; a connection without its driver counts as no source."""
+def _catalog(spark: SparkSession, mapping: Mapping, source: Catalog | str | bool | None) -> Catalog | None:
+    """The source, explicit or the database that the mapping names, which has to open; False: none."""
+    if source is None and mapping.connection:
+        source = Catalog(spark, jdbc=opened(spark, mapping.connection))
     found = Catalog(spark, jdbc=jdbc_options(source)) if isinstance(source, str) else source
-    return found.with_queries(mapping.queries) if found is not None else None
+    return found.with_queries(mapping.queries) if isinstance(found, Catalog) else None
 
 
 def _analysis(mapping: Mapping, graph: Graph) -> dict[str, TableAnalysis]:
-    found = analyse(mapping, graph.observed_twice)
+    found = analyse(mapping, graph.observed)
     require_recoverable(found)
     return found
 
 
-def analyze_mapping(spark: SparkSession, mapping: Mapping | str, graph: Graph | DataFrame | str, source: Catalog | str | None = None) -> dict[str, TableAnalysis]:
+def analyze_mapping(spark: SparkSession, mapping: Mapping | str, graph: Graph | DataFrame | str, source: Catalog | str | bool | None = None) -> dict[str, TableAnalysis]:
     """What the graph preserves of each logical table; a source checks the columns that the mapping reads."""
     mapping = _mapping(mapping)
     catalog = _catalog(spark, mapping, source)
@@ -62,7 +64,7 @@ def invert(mapping: Mapping, source: str, graph: Graph, analysis: dict[str, Tabl
     return found
 
 
-def reconstruct_tables(spark: SparkSession, mapping: Mapping | str, graph: Graph | DataFrame | str, source: Catalog | str | None = None, observe: bool = True, **options) -> dict[str, DataFrame]:
+def reconstruct_tables(spark: SparkSession, mapping: Mapping | str, graph: Graph | DataFrame | str, source: Catalog | str | bool | None = None, observe: bool = True, **options) -> dict[str, DataFrame]:
     """Every logical table, typed and ordered by the source's schema, or by the graph's datatypes without a source.
 
     ``observe`` looks for template terms that split in several ways, which reads the graph.
@@ -73,7 +75,7 @@ def reconstruct_tables(spark: SparkSession, mapping: Mapping | str, graph: Graph
     catalog, graph = _catalog(spark, mapping, source), _graph(spark, graph)
     if catalog is not None:
         check_references(mapping, catalog)
-    analysis = analyse(mapping, graph.observed_twice if observe else None)
+    analysis = analyse(mapping, graph.observed if observe else None)
     require_recoverable(analysis)
     out = {}
     for name in mapping.sources:
@@ -82,9 +84,12 @@ def reconstruct_tables(spark: SparkSession, mapping: Mapping | str, graph: Graph
     return out
 
 
-def reconstruct(spark: SparkSession, mapping: Mapping | str, graph: Graph | DataFrame | str, destination, source: Catalog | str | None = None, **options) -> None:
-    """Reconstruct every logical table and append its rows to the destination, table by table in name order."""
+def reconstruct(spark: SparkSession, mapping: Mapping | str, graph: Graph | DataFrame | str, destination, source: Catalog | str | bool | None = None, **options) -> None:
+    """Reconstruct every logical table and append its rows to the destination.
+
+    All tables are prepared beside the destination first, and only then take their places, in name order.
+    """
     sink = sink_for(spark, destination)
-    for name, table in reconstruct_tables(spark, mapping, graph, source, **options).items():
-        sink.write(table, name)
+    for publish in [sink.prepare(table, name) for name, table in reconstruct_tables(spark, mapping, graph, source, **options).items()]:
+        publish()
 

@@ -3,7 +3,8 @@
 One lazy DataFrame a table.  Patterns are deduplicated and joined on the variables they share, in a
 fixed order (constants, references, templates, joins, subjects), because the first term map that yields
 a column binds it; later ones only have to agree.  A column is bound either to an RDF term or to plain
-text cut out of a term.  The loose form takes templates before references, where a term meets plain
+text cut out of a term.  Patterns without a common variable, as those of two subject maps, are solved
+apart, and joined on the columns that both yield.  The loose form takes templates before references, where a term meets plain
 text only as a plain literal, and lets object templates disagree.
 """
 
@@ -83,6 +84,9 @@ class Solution:
     df: DataFrame | None = None
     names: Names = field(default_factory=Names)
     bound: dict[str, str] = field(default_factory=dict)
+    #: Columns whose text is percent-encoded, and those that may be NULL.
+    encoded: set[str] = field(default_factory=set)
+    open: set[str] = field(default_factory=set)
 
     def key(self, column: str) -> str:
         return f"column {column}"
@@ -101,9 +105,31 @@ class Solution:
         else:
             self.df = self.df.join(other, shared, how)
 
-    def bind(self, column: str, value: Column, how: str = "text") -> None:
+    def bind(self, column: str, value: Column, how: str = "text", encoded: bool = False) -> None:
         self.df = self.df.withColumn(self.names[self.key(column)], value)
         self.bound[column] = how
+        if encoded:
+            self.encoded.add(column)
+
+    def plain(self, column: str) -> Column:
+        """The column's value, whichever way it is written."""
+        return percent_decode(self.text(column)) if column in self.encoded else self.text(column)
+
+    def meet(self, other: Solution) -> None:
+        """Join a solution without a common variable on the columns that both have; their form here stays."""
+        shared = [c for c in self.bound if c in other.bound and c not in self.open | other.open]
+        keys = [f"{self.names[self.key(c)]}_key" for c in shared]
+        left = self.df.withColumns({k: self.plain(c) for k, c in zip(keys, shared, strict=True)})
+        right = other.df.withColumns({k: other.plain(c) for k, c in zip(keys, shared, strict=True)})
+        doubtful = {c: f"{self.names[self.key(c)]}_other" for c in self.bound if c in other.bound and c not in shared}
+        right = right.drop(*(self.names[self.key(c)] for c in shared)).withColumnsRenamed({self.names[self.key(c)]: n for c, n in doubtful.items()})
+        self.df = (left.join(right, keys) if shared else left.crossJoin(right)).drop(*keys)
+        for c, n in doubtful.items():
+            value = F.col(n)["value"] if other.bound[c] == "term" else F.col(n)
+            self.df = self.df.where(same_value(self.text(c), value) | value.isNull()).drop(n)
+        self.bound |= {c: how for c, how in other.bound.items() if c not in self.bound}
+        self.encoded |= other.encoded - set(shared)
+        self.open |= other.open
 
 
 def slices(text: Column, template: Template) -> dict[str, Column]:
@@ -131,6 +157,7 @@ class Inversion:
         self.strict, self.optional = strict, optional_objects
         self.rules = distinct_groups(mapping.rules_of(source), excluded)
         self.at = Solution()
+        self.names = self.at.names
         self.dropped: set[str] = set()
         self.literals: set[str] = set()
 
@@ -169,10 +196,10 @@ class Inversion:
         common = {"subject": self._resource_key(rule.subject), "predicate": predicate, "predicate_key": predicate_key, "graph": self._graph_iri(rule)}
         if o.kind == CONSTANT:
             if o.term == BNODE:
-                raise UnsupportedMappingError("Blank node constant object maps are not supported")
+                raise UnsupportedMappingError("A blank node given as an object cannot be matched: graphs do not keep its label")
             return Pattern(**common, object_key=None, constant=(o.term, o.value, o.datatype, o.language))
         if o.kind == REFERENCE:
-            key = f"object {o.value}" if o.value in self.excluded else self.at.key(o.value)
+            key = f"object {o.value}" if o.value in self.excluded else Solution.key(self.at, o.value)
             return Pattern(**common, object_key=key, language=o.language)
         if o.kind == TEMPLATE:
             # a resource of the same template as a subject is the same variable
@@ -188,11 +215,11 @@ class Inversion:
             return text.rlike(template.pattern(capture))
         return text.rlike("([^/]*)".join(template.literals))
 
-    def _agree(self, found: dict[str, Column], check: bool) -> None:
+    def _agree(self, found: dict[str, Column], check: bool, encoded: bool = True) -> None:
         """Bind what is not bound yet; with ``check``, what is bound has to be the same value."""
         for column, value in found.items():
             if column not in self.at.bound:
-                self.at.bind(column, value)
+                self.at.bind(column, value, encoded=encoded)
             elif check:
                 self.at.df = self.at.df.where(same_value(self.at.text(column), value))
 
@@ -221,7 +248,7 @@ class Inversion:
         cut = slices(text, o.template)
         if set(o.references) & self.excluded:  # the split is in doubt: columns that a literal shows are taken from there
             cut = {c: x for c, x in cut.items() if c not in self.literals}
-        self._agree({c: x for c, x in cut.items() if c not in self.excluded}, check=self.strict and not self.optional)
+        self._agree({c: x for c, x in cut.items() if c not in self.excluded}, check=self.strict and not self.optional, encoded=o.term != LITERAL)
 
     def _predicate_template(self, rule: Rule, pattern: Pattern) -> None:
         p = rule.predicate
@@ -244,6 +271,8 @@ class Inversion:
                 if column in cut and child not in at.bound and child not in self.excluded:
                     right = right.withColumn(at.names[at.key(child)], cut[column])
                     at.bound[child] = "text"
+                    at.encoded.add(child)
+                    at.open.add(child)
         if at.df is None:
             # nothing to be optional to yet: every subject that the table's other patterns know
             at.join(self.graph.default.select(F.col("s").alias(at.names[pattern.subject])).distinct())
@@ -274,7 +303,7 @@ class Inversion:
         """Subjects without statements of their own are the objects of the one join that names them."""
         joins = [r for r in self.mapping.rules if r.object and r.object.kind == PARENT and r.object.value == rule.triples_map]
         if len(joins) > 1:
-            raise UnsupportedMappingError(f"Triples map '{rule.triples_map}' has no predicate-object map and is referenced by more than one join")
+            raise UnsupportedMappingError(f"Subjects of '{rule.triples_map}' occur as objects of several joins only, which do not tell them apart")
         join = joins[0]
         anchor = Pattern(subject=f"referencing {rule.triples_map}", predicate=join.predicate.value, predicate_key=None, object_key=self._resource_key(rule.subject), object_kind="iri", graph=self._graph_iri(join))
         self.at.join(anchor.match(self.graph, self.at.names))
@@ -309,6 +338,20 @@ class Inversion:
 
     # -- the whole --------------------------------------------------------------------------
 
+    def _islands(self, patterns: dict[Rule, Pattern], groups: list[list[Rule]]) -> list[set[str]]:
+        """Sets of variables that patterns connect; one set where text may meet terms, or rows may lack a value."""
+        sets = [{k for k in (p.subject, p.predicate_key, p.object_key) if k} for p in patterns.values()]
+        sets += [{self._resource_key(g[0].subject)} for g in groups]
+        out: list[set[str]] = []
+        for variables in sets:
+            touching = [s for s in out if s & variables]
+            if self.optional or not self.strict:
+                touching = out[:]
+            place = out.index(touching[0]) if touching else len(out)
+            out = [s for s in out if s not in touching]
+            out.insert(place, variables.union(*touching))
+        return out
+
     def solve(self) -> DataFrame | None:
         """A column for each recovered reference, text or term as bound; None if there is none."""
         rules = self._rules_with_evidence()
@@ -318,22 +361,33 @@ class Inversion:
             return None
         order = {CONSTANT: 0, REFERENCE: 1, TEMPLATE: 2 if self.strict else 0.5, PARENT: 3}
         self.literals = {r.object.value for r in rules if r.object.kind == REFERENCE}
-        patterns: dict[Rule, Pattern] = {}
+        patterns = {rule: self.pattern(rule) for rule in sorted(rules, key=lambda r: order[r.object.kind])}
         done: set[tuple] = set()
-        for rule in sorted(rules, key=lambda r: order[r.object.kind]):
-            pattern = patterns[rule] = self.pattern(rule)
-            if (mark := (pattern, rule.object.joins, rule.object.template)) in done:
-                continue
-            done.add(mark)
-            if rule.object.kind == PARENT:
-                self._foreign_key(rule, pattern)
-            else:
-                self._join_pattern(rule, pattern)
-                if rule.object.kind == TEMPLATE:
-                    self._object_template(rule, pattern)
-            self._predicate_template(rule, pattern)
-        for group in by_subject(self.rules):
-            self._subject(group)
+        groups = by_subject(self.rules)
+        islands = []
+        for variables in self._islands(patterns, groups):
+            self.at = Solution(names=self.names)
+            for rule, pattern in patterns.items():
+                if pattern.subject not in variables or (mark := (pattern, rule.object.joins, rule.object.template)) in done:
+                    continue
+                done.add(mark)
+                if rule.object.kind == PARENT:
+                    self._foreign_key(rule, pattern)
+                else:
+                    self._join_pattern(rule, pattern)
+                    if rule.object.kind == TEMPLATE:
+                        self._object_template(rule, pattern)
+                self._predicate_template(rule, pattern)
+            for group in groups:
+                if self._resource_key(group[0].subject) in variables:
+                    self._subject(group)
+            if self.at.df is not None:
+                islands.append(self.at)
+        if not islands:
+            return None
+        self.at = islands[0]
+        for island in islands[1:]:
+            self.at.meet(island)
         self._graph_maps(patterns)
         # a column that some literal shows is taken as it is; others were cut out of encoded terms
         plain = set(self.literals)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import QUAD
 from ..functions.text import escape, unescape
 from ..functions.vocabulary import BNODE, LANG_STRING, XSD_STRING
+from ..plans.rules import Template
+from .store import new_path, remove, written
 
 _IRI = r'<([^\x00-\x20<>"{}|^`]*)>'
 _LABEL = r"(_:[^\s<>\"]*[^\s<>\".])"
@@ -88,6 +90,8 @@ class Graph:
     With ``keep`` the quads stay cached until the graph is closed.
     """
 
+    _path: str | None = None
+
     def __init__(self, quads: DataFrame, keep: bool = False):
         self._kept = quads.persist() if keep else None
         self.quads = self._kept if keep else quads
@@ -96,7 +100,19 @@ class Graph:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, keep: bool = False) -> Graph:
-        return cls(read_quads(spark, path), keep)
+        """The graph of a file or folder.
+
+        Text is parsed once: its quads are written to the shared folder, by predicate within each file, so that
+        patterns skip row groups without theirs.  They stay until the graph is closed.  Without a shared
+        folder, or kept in memory anyway, text is parsed where it is read.
+        """
+        quads = read_quads(spark, path)
+        at = None if keep or format_of(path) == "parquet" else new_path(spark, "quads")
+        if at is None:
+            return cls(quads, keep)
+        graph = cls(written(quads.sortWithinPartitions("p"), at))
+        graph._path = at
+        return graph
 
     def in_graph(self, iri: str) -> DataFrame:
         return self.named.where(F.col("g") == iri).drop("g")
@@ -105,22 +121,32 @@ class Graph:
         """All quads, and each named one in the default graph too, as a set."""
         return self.default.select("s", "p", "o", F.lit("").alias("g")).unionByName(self.named)
 
-    def observed_twice(self, position: str, template) -> bool:
-        """Whether a term at the position can be split by the template in more than one way.
+    def observed(self, asked: list[tuple[str, Template]]) -> list[bool]:
+        """For each (position, template), whether a term there can be split by it in more than one way.
 
         All captures as long as possible and all as short as possible are the same split exactly when
-        there is only one.
+        there is only one.  One pass over the quads answers all.
         """
-        term = {"subject": F.col("s"), "predicate": F.col("p"), "object": F.col("o.value"), "graph": F.col("g")}[position]
-        terms = (self.named if position == "graph" else self.quads).select(term.alias("x")).where(F.col("x").rlike(template.pattern()))
-        differ = F.lit(False)
-        for i in range(1, len(template.references) + 1):
-            differ |= F.regexp_extract("x", template.pattern(), i) != F.regexp_extract("x", template.pattern("([^/]*?)"), i)
-        return not terms.where(differ).isEmpty()
+        if not asked:
+            return []
+        terms = {"subject": F.col("s"), "predicate": F.col("p"), "object": F.col("o.value"), "graph": F.when(F.col("g") != "", F.col("g"))}
+
+        def twice(position: str, template: Template) -> Column:
+            term, differ = terms[position], F.lit(False)
+            for i in range(1, len(template.references) + 1):
+                differ |= F.regexp_extract(term, template.pattern(), i) != F.regexp_extract(term, template.pattern("([^/]*?)"), i)
+            return F.coalesce(F.max(term.rlike(template.pattern()) & differ), F.lit(False))
+
+        return list(self.quads.agg(*(twice(*x).alias(f"x{i}") for i, x in enumerate(asked))).first())
+
+    def observed_twice(self, position: str, template: Template) -> bool:
+        return self.observed([(position, template)])[0]
 
     def close(self) -> None:
         if self._kept is not None:
             self._kept.unpersist()
+        if self._path is not None:
+            remove(self.quads.sparkSession, self._path)
 
     def __enter__(self) -> Graph:
         return self

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import MappingError
+from .store import file_system
 
 
 def evolved(old: DataFrame, schema: T.StructType, allow_drop: bool) -> DataFrame:
@@ -19,9 +21,24 @@ def evolved(old: DataFrame, schema: T.StructType, allow_drop: bool) -> DataFrame
     return old.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in old.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
+#: Puts prepared rows in their place.
+Publish = Callable[[], None]
+
+
+def _new_rows(old: DataFrame, df: DataFrame, allow_drop: bool) -> tuple[DataFrame, bool]:
+    """(rows to stage, whether they replace the old ones): a changed schema takes the old rows along."""
+    if old.schema.simpleString() == df.schema.simpleString() or df.isEmpty():
+        return df, False
+    return evolved(old, df.schema, allow_drop).unionByName(df), True
+
+
 @dataclass
 class TableSink:
-    """Catalog tables in ``format``; a changed schema rewrites the table."""
+    """Catalog tables in ``format``; a changed schema replaces the table.
+
+    Rows are staged in a table of their own.  A replaced table is renamed first and dropped last, so that
+    one of both is whole at any time; a name that a crash left free is given back.
+    """
 
     spark: SparkSession
     database: str | None = None
@@ -31,50 +48,82 @@ class TableSink:
     def _name(self, table: str) -> str:
         return f"`{self.database}`.`{table}`" if self.database else f"`{table}`"
 
-    def write(self, df: DataFrame, table: str) -> None:
-        name = self._name(table)
-        if not self.spark.catalog.tableExists(name.replace("`", "")):
-            df.write.format(self.format).saveAsTable(name)
-            return
-        old = self.spark.table(name)
-        if old.schema.simpleString() != df.schema.simpleString():
-            if df.isEmpty():
+    def _exists(self, table: str) -> bool:
+        return self.spark.catalog.tableExists(self._name(table).replace("`", ""))
+
+    def _rename(self, a: str, b: str) -> None:
+        self.spark.sql(f"ALTER TABLE {self._name(a)} RENAME TO {self._name(b)}")
+
+    def prepare(self, df: DataFrame, table: str) -> Publish:
+        staged, before = f"{table}__staged", f"{table}__before"
+        drop = lambda name: self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
+        if self._exists(before):
+            if self._exists(table):
+                drop(before)
+            else:
+                self._rename(before, table)
+        drop(staged)
+        there = self._exists(table)
+        rows, replaces = _new_rows(self.spark.table(self._name(table)), df, self.allow_drop) if there else (df, False)
+        if there and not replaces and df.schema.simpleString() != self.spark.table(self._name(table)).schema.simpleString():
+            return lambda: None  # no rows: the table stays as it is
+        rows.write.format(self.format).saveAsTable(self._name(staged))
+
+        def publish() -> None:
+            if there and not replaces:
+                self.spark.table(self._name(staged)).write.format(self.format).mode("append").saveAsTable(self._name(table))
+                drop(staged)
                 return
-            whole = evolved(old, df.schema, self.allow_drop).unionByName(df)
-            staged = f"{name[:-1]}_evolved`"
-            self.spark.sql(f"DROP TABLE IF EXISTS {staged}")
-            whole.write.format(self.format).saveAsTable(staged)
-            self.spark.sql(f"DROP TABLE {name}")
-            self.spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
-            return
-        df.write.format(self.format).mode("append").saveAsTable(name)
+            if there:
+                self._rename(table, before)
+            self._rename(staged, table)
+            drop(before)
+
+        return publish
+
+    def write(self, df: DataFrame, table: str) -> None:
+        self.prepare(df, table)()
 
 
 @dataclass
 class ParquetSink:
-    """One Parquet folder a table."""
+    """One Parquet folder a table; rows are staged in a folder beside it, as :class:`TableSink` has it."""
 
     path: str
     allow_drop: bool = False
 
-    def write(self, df: DataFrame, table: str) -> None:
-        at = f"{self.path.rstrip('/')}/{table}"
-        spark = df.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(at)
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            df.write.parquet(at)
-            return
-        old = spark.read.parquet(at)
-        if old.schema.simpleString() != df.schema.simpleString():
-            if df.isEmpty():
+    def prepare(self, df: DataFrame, table: str) -> Publish:
+        spark, at = df.sparkSession, f"{self.path.rstrip('/')}/{table}"
+        files, folder = file_system(spark, at)
+        staged, before = (file_system(spark, at + ending)[1] for ending in (".staged", ".before"))
+        if files.exists(before):
+            if files.exists(folder):
+                files.delete(before, True)
+            else:
+                files.rename(before, folder)
+        there = files.exists(folder)
+        old = spark.read.parquet(at) if there else None
+        rows, replaces = _new_rows(old, df, self.allow_drop) if there else (df, False)
+        if there and not replaces and df.schema.simpleString() != old.schema.simpleString():
+            return lambda: None
+        rows.write.mode("overwrite").parquet(at + ".staged")
+
+        def publish() -> None:
+            if there and not replaces:
+                for found in files.listStatus(staged):
+                    if found.getPath().getName().startswith("part-"):  # names are unique
+                        files.rename(found.getPath(), folder)
+                files.delete(staged, True)
                 return
-            staged = spark._jvm.org.apache.hadoop.fs.Path(f"{at}.evolved")
-            evolved(old, df.schema, self.allow_drop).unionByName(df).write.mode("overwrite").parquet(f"{at}.evolved")
-            files.delete(folder, True)
+            if there:
+                files.rename(folder, before)
             files.rename(staged, folder)
-            return
-        df.write.mode("append").parquet(at)
+            files.delete(before, True)
+
+        return publish
+
+    def write(self, df: DataFrame, table: str) -> None:
+        self.prepare(df, table)()
 
 
 @dataclass
@@ -84,6 +133,9 @@ class JdbcSink:
     options: dict[str, str]
     batch: int = 10_000
 
+    def prepare(self, df: DataFrame, table: str) -> Publish:
+        return lambda: self.write(df, table)
+
     def write(self, df: DataFrame, table: str) -> None:
         df.write.format("jdbc").options(**self.options, dbtable=table, batchsize=str(self.batch)).mode("append").save()
 

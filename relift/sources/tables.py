@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator, Mapping as Tables
 from urllib.parse import unquote_plus, urlsplit
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,6 +95,15 @@ def jdbc_options(url: str) -> dict[str, str]:
     return out
 
 
+def opened(spark: SparkSession, options: dict[str, str]) -> dict[str, str]:
+    """JDBC options, if a driver for them is on the class path."""
+    try:
+        spark._jvm.java.sql.DriverManager.getDriver(options["url"])
+    except Py4JError as error:
+        raise MappingError(f"The mapping's database {options['url']} has no driver here; name a source, or False for none") from error
+    return options
+
+
 def resolve(schema: T.StructType, name: str, case_sensitive: bool = True) -> str | None:
     """The stored name of a column: exact, else the only one that differs in case."""
     if name in schema.names:
@@ -119,8 +129,11 @@ def content(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.CharType):
-            c = F.rpad(c, f.dataType.length, " ")
+        # scanned CHAR columns are strings whose metadata tell their length
+        told = re.fullmatch(r"char\((\d+)\)", str(f.metadata.get("__CHAR_VARCHAR_TYPE_STRING", "")))
+        length = f.dataType.length if isinstance(f.dataType, T.CharType) else int(told[1]) if told else None
+        if length:
+            c = F.rpad(c, length, " ")
         elif isinstance(f.dataType, T.BinaryType):
             c = F.hex(c)
         out.append(c.alias(f.name))

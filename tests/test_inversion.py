@@ -18,7 +18,7 @@ from .helpers import EX, iri, join, lit, mapping, quads, ref, rows, rule, term_m
 def solve(spark, found, rules, source="data", observe=True, **options):
     graph = Graph(quads(spark, found))
     whole = mapping(*rules)
-    analysis = analyse(whole, graph.observed_twice if observe else None)
+    analysis = analyse(whole, graph.observed if observe else None)
     df = by_values(invert(whole, source, graph, analysis, **options))
     return rows(df.select(*sorted(df.columns)))
 

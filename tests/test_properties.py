@@ -26,7 +26,7 @@ def test_round_trip(spark, data, subject, objects):
     table = spark.createDataFrame(data, "a string, b string, c string").coalesce(1)
     whole = mapping(*(rule(subject, o, EX + f"p{i}", source="t", graph=g) for i, (o, g) in enumerate(objects)))
     graph = Graph(graph_of(whole, Catalog(spark, {"t": table})))
-    analysis = analyse(whole, graph.observed_twice)
+    analysis = analyse(whole, graph.observed)
     if not analysis["t"].recoverable:
         return
     back = by_schema(invert(whole, "t", graph, analysis), table.schema)
