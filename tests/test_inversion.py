@@ -7,7 +7,8 @@ import pytest
 from relift.api import invert, reconstruct_tables
 from relift.errors import UnsupportedMappingError
 from relift.functions.vocabulary import XSD
-from relift.operators.typing import by_values
+from relift.operators.forward import graph_of
+from relift.operators.typing import by_schema, by_values
 from relift.plans.analysis import analyse
 from relift.plans.rules import BNODE, LITERAL
 from relift.sources.rdf import Graph
@@ -167,3 +168,13 @@ def test_plan_has_two_shuffles_for_two_patterns(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange REPARTITION") <= 2, plan
     assert "EqualTo(p,http://example.com/a)" in plan and "PythonUDF" not in plan
+
+
+def test_two_subject_maps_meet_in_an_equi_join(spark):
+    """Subject maps of one table are joined on the columns that both show, not by all pairs."""
+    data = spark.createDataFrame([(i, f"n {i}%", f"p{i}") for i in range(20)], "id int, name string, phone string")
+    whole = mapping(rule(term_map(EX + "a/{id}/{name}"), "name", EX + "x", source="t"), rule(term_map(EX + "b/{id}/{name}"), "phone", EX + "y", source="t"))
+    found = invert(whole, "t", Graph(graph_of(whole, {"t": data})))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert rows(by_schema(found, data.schema)) == rows(data)

@@ -1,6 +1,7 @@
 """Reading and writing graphs."""
 
 import gzip
+import os
 
 import pytest
 
@@ -8,7 +9,7 @@ from relift.functions.vocabulary import LANG_STRING, XSD, XSD_STRING
 from relift.plans.rules import Template
 from relift.sources.rdf import Graph, format_of, lines_of, parse_lines, read_quads, write_quads
 
-from .helpers import iri, lit, quads, rows
+from .helpers import EX, iri, lit, quads, rows
 
 
 def parsed(spark, *lines):
@@ -74,3 +75,21 @@ def test_default_graph_is_the_union(spark):
 def test_decompositions(spark, text, terms, twice):
     graph = Graph(quads(spark, [("s", "p", lit(t)) for t in terms]))
     assert graph.observed_twice("object", Template.parse(text)) is twice
+
+
+def test_text_is_parsed_once(spark, tmp_path):
+    """Five predicates read the quads that were written when the graph was opened, and no text."""
+    found = quads(spark, [(f"s{i}", f"p{k}", lit(str(i))) for i in range(20) for k in range(5)])
+    write_quads(found, str(tmp_path / "a.nt"))
+    with Graph.open(spark, str(tmp_path / "a.nt")) as graph:
+        plan = graph.default._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" in plan and "FileScan text" not in plan and graph.default.count() == 100
+        at = graph._path.removeprefix("file:")
+        assert os.path.isdir(at)
+    assert not os.path.exists(at)
+
+
+def test_one_pass_answers_all(spark):
+    graph = Graph(quads(spark, [("s", "p", lit("a b c")), ("s", "p", lit("d"), "http://g/1-2-3")]))
+    asked = [("object", Template.parse("{a} {b}")), ("graph", Template.parse("http://g/{a}-{b}")), ("subject", Template.parse(EX + "{a}{b}")), ("predicate", Template.parse("{a}-{b}"))]
+    assert graph.observed(asked) == [True, True, True, False] and graph.observed([]) == []

@@ -235,3 +235,44 @@ def test_observed_terms_come_from_the_graph(spark):
     whole, catalog = mapping(rule("id", term_map("{x} {y}", "literal"), source="t"), rule("id", ref("x"), EX + "x", source="t")), Catalog(spark, {"t": t})
     (back,) = reconstruct_tables(spark, whole, Graph(graph_of(whole, catalog)), catalog).values()
     assert rows(back) == [(1, "a b"), (2, "d")]
+
+
+def test_interrupted_evolution_is_given_back(spark, tmp_path):
+    sink, old = ParquetSink(str(tmp_path)), spark.createDataFrame([(1,)], "a int")
+    sink.write(old, "t")
+    (tmp_path / "t").rename(tmp_path / "t.before")  # a crash between the two renames
+    sink.write(old.selectExpr("a", "2 AS b"), "t")
+    assert rows(spark.read.parquet(str(tmp_path / "t"))) == [(1, 2), (1, None)] or rows(spark.read.parquet(str(tmp_path / "t"))) == [(1, None), (1, 2)]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_nothing_is_published_before_all_is_prepared(spark, tmp_path):
+    whole = mapping(rule("id", "a", EX + "a", source="t"), rule("id", "b", EX + "b", source="u"))
+    data = {"t": spark.createDataFrame([(1, "x")], "id int, a string"), "u": spark.createDataFrame([(1, "x")], "id int, b string")}
+    ParquetSink(str(tmp_path)).write(spark.createDataFrame([(1, "x", 2)], "id int, b string, more int"), "u")
+    with pytest.raises(MappingError, match="lack"):
+        reconstruct(spark, whole, graph_of(whole, data), str(tmp_path), Catalog(spark, data))
+    assert not (tmp_path / "t").exists()
+
+
+def test_outcomes_of_errors():
+    def fails(error):
+        def run():
+            raise error
+
+        return run
+
+    equal = lambda: (True, "", frozenset())
+    assert classify(fails(NoDataError("x")), empty=equal).outcome == Outcome.FULLY_INVERTED
+    assert classify(fails(NoDataError("x")), forward_failed=True, empty=equal).outcome == Outcome.ERROR
+    assert classify(fails(MappingError("x"))) == CaseResult(Outcome.ERROR, message="x")
+    assert classify(fails(ZeroDivisionError("x"))).outcome == Outcome.ERROR
+    assert classify(equal, has_graph=False).outcome == Outcome.FULLY_INVERTED
+    assert classify(equal, has_graph=False, forward_failed=True).outcome == Outcome.ERROR
+
+
+def test_char_columns_are_padded(spark):
+    spark.sql("CREATE TABLE chars (c CHAR(4)) USING parquet")
+    spark.sql("INSERT INTO chars VALUES ('ab')")
+    assert spark.table("chars").schema["c"].metadata and content(spark.table("chars").selectExpr("c")).first().c == "ab  "
+    spark.sql("DROP TABLE chars")
