@@ -58,6 +58,17 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
     return _LETTERS[0], _LETTERS[1]
 
 
+def release() -> None:
+    """Give memory that is free in this worker back to the system; reused workers would keep it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        return
+
+
 def map_texts(df: DataFrame, work: Callable[[], Callable[[list, list], dict]], schema: str) -> DataFrame:
     """``work()`` is called once a task and returns a function from (ids, texts) to columns."""
     fields = [part.strip().split(" ")[0] for part in schema.split(",")]
@@ -70,6 +81,8 @@ def map_texts(df: DataFrame, work: Callable[[], Callable[[list, list], dict]], s
             for ids, texts in steps(batch.column(0), batch.column(1)):
                 out = f(ids, texts)
                 yield pa.RecordBatch.from_arrays([pa.array(out[name], type=arrow.field(name).type) for name in fields], schema=arrow)
+        f = None
+        release()
 
     return documents(df).mapInArrow(run, schema)
 
@@ -82,6 +95,7 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
     def run(batches):
         for out in work(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import documents, map_rows, map_texts, steps, stored
+from .common import documents, map_rows, map_texts, release, steps, stored
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach; share of its shingles; their words.
@@ -303,6 +303,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
                 for _, texts in steps(batch.column(at), batch.column(at)):
                     clean += [not hits for hits in held.value.probe(texts, threshold, share)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
+            release()
 
         out = out.mapInArrow(keep, docs.schema)
     return out

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import folder, map_rows, remember, stored
+from .common import folder, map_rows, release, remember, stored
 
 #: Bytes of text that close a block.
 BLOCK_BYTES = 4_000_000
@@ -165,6 +165,7 @@ def exchange(keys: DataFrame, kinds: tuple[str, ...], judge: Callable[..., tuple
             if len(some):
                 out["block"].append(int(blocks[i]))
                 out["blob"].append(squeeze(key[some], *(a[some] for a in answers)))
+        release()
         return pa.table({"block": pa.array(out["block"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
 
     return keys.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "block long, blob binary")
@@ -207,6 +208,7 @@ def meet(blocks: DataFrame, replies: DataFrame, work: Callable[[int, pa.Table, l
             return arrow.empty_table()
         kinds, blobs = right.column("kind").to_pylist(), right.column("blob").to_pylist()
         out = work(left.column("block")[0].as_py(), unpack(left.column("payload")[0].as_py()), [b for b, k in zip(blobs, kinds, strict=True) if k == 0], [b for b, k in zip(blobs, kinds, strict=True) if k == 1])
+        release()
         if isinstance(out, pa.Table):
             return out.cast(arrow)
         return pa.table([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)

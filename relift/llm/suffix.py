@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, map_rows, stored
+from .common import documents, map_rows, release, stored
 from .exchange import LAST, bucket_count, by_bucket, exchange, expand, groups, make_blocks, meet, ranges, squeeze, unpack
 
 #: Bytes of a repeated string; of an anchor's gram.
@@ -435,6 +435,7 @@ def _compared(rows: DataFrame, buckets: int) -> DataFrame:
         for k in range(PARTS):
             for who, *columns in _answers([s.part(k) for s in sent]):
                 found[who].append(columns)
+        release()
         told = [(b, squeeze(*(np.concatenate(c).astype(kind) for c, kind in zip(zip(*f, strict=True), ("<u4", "<u1", "<u1"), strict=True)))) for b, f in zip(blocks, found, strict=True) if f]
         return pa.table({"block": pa.array([b for b, _ in told], pa.int64()), "blob": pa.array([x for _, x in told], pa.binary())})
 

@@ -16,7 +16,7 @@ import numpy as np
 #: The tokenizer's file, as the public_tokenizers package names it.
 WORD_BPE = "word_bpe_49k.json"
 #: Parts that a worker keeps; beyond, it starts anew.
-KEPT_PARTS = 600_000
+KEPT_PARTS = 300_000
 #: Parts whose normalised form is their lower case, and how the file splits those.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall

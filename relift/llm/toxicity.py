@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from ..shipping import ship
-from .common import documents, fold, letters, map_rows, steps
+from .common import documents, fold, letters, map_rows, release, steps
 from .linear import Hashes, Model, bucket
 
 FOLDS, HELD_OUT = 5, 0
@@ -310,6 +310,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for _, texts in steps(batch.column(at), batch.column(at)):
                 verdict += (held.value.score(f(texts)) < 0.5).tolist()
             yield batch.filter(pa.array(verdict, pa.bool_()))
+        f = None
+        release()
 
     ship(docs.sparkSession)
     return docs.mapInArrow(keep, kind)
