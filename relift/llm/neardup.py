@@ -246,7 +246,7 @@ def _group_links(keys: DataFrame, buckets: int) -> DataFrame:
         pairs = np.unique(np.stack([owner, lead], 1)[owner != lead], axis=0)
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return keys.select("bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "u long, v long").distinct()
+    return keys.select("bucket", "blob").repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "u long, v long").distinct()
 
 
 def _columns(df: DataFrame, kinds: tuple[str, ...], names: tuple[str, ...]) -> DataFrame:
@@ -312,8 +312,9 @@ def connect(ids: list[int], sketch: np.ndarray, size: np.ndarray, similar: int,
 def _by_pairs(blocks: DataFrame, members: DataFrame, read: Callable[[pa.Table], Iterator[tuple[int, bytes]]], judge: Callable[..., list[tuple[int, int]]], tasks: int, what: str) -> DataFrame:
     """Links (u, v) that ``judge`` finds in groups: ``members`` has block, rep and grp, ``read`` the reps' bytes in a block.
 
-    Small groups share tasks by hash; a large one is dealt into chunks, and each pair of chunks is a
-    task's work.  ``judge`` gets reps, bytes and chunks.
+    Small groups share partitions by hash; a large one is dealt into chunks, and its pairs of chunks go
+    to one partition after the other, so that no partition has much more of them than another.  A
+    partition is sorted, and a pair of chunks is held at a time.  ``judge`` gets reps, bytes and chunks.
     """
     # written, so that the join has two plain shuffles whose hot keys Spark can split
     counts = stored(members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "counts")
@@ -321,34 +322,41 @@ def _by_pairs(blocks: DataFrame, members: DataFrame, read: Callable[[pa.Table],
     active = members.join(counts, "grp").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     wanted = active.groupBy("block").agg(F.collect_list(F.struct("rep", "grp", "chunks", "chunk")).alias("wanted"))
     wanted = wanted.select("block", F.to_json("wanted").cast("binary").alias("blob"))
+    places = 4 * tasks
 
     def send(block: int, table: pa.Table, replies: list[bytes], _) -> dict:
         import json
 
-        out = {k: [] for k in ("task", "grp", "a", "b", "chunk", "rep", "raw")}
+        out = {k: [] for k in ("place", "grp", "a", "b", "chunk", "rep", "raw")}
         need = {x["rep"]: x for blob in replies for x in json.loads(blob)}
         for rep, raw in read(table) if need else ():
             if (x := need.pop(rep, None)) is None:
                 continue
             n, c = x["chunks"], x["chunk"]
             for a, b in [(min(c, k), max(c, k)) for k in range(n)]:
-                for column, value in zip(out.values(), (hash((x["grp"], a, b)) % (16 * tasks), x["grp"], a, b, c, rep, raw), strict=True):
+                place = (hash((x["grp"],)) + a * n - a * (a - 1) // 2 + b - a) % places
+                for column, value in zip(out.values(), (place, x["grp"], a, b, c, rep, raw), strict=True):
                     column.append(value)
         return out
 
-    def check(table: pa.Table) -> pa.Table:
-        links: list[tuple[int, int]] = []
-        by: dict[tuple, list[int]] = {}
-        for i, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("grp", "a", "b")), strict=True)):
-            by.setdefault(key, []).append(i)
-        reps, chunks, raws = table.column("rep").to_pylist(), table.column("chunk").to_pylist(), table.column("raw")
-        for _, rows in sorted(by.items()):
-            rows.sort(key=lambda i: reps[i])
-            links += judge([reps[i] for i in rows], [raws[i].as_py() for i in rows], [chunks[i] for i in rows])
-        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
-
-    sent = meet(blocks, wanted, send, "task int, grp long, a int, b int, chunk int, rep long, raw binary")
-    return stored(sent.repartition(4 * tasks, "task").groupBy("task").applyInArrow(check, "u long, v long"), what)
+    def check(batches) -> Iterator[dict]:
+        now, held = None, []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("grp", "a", "b")), strict=True)
+            rows = zip(batch.column("rep").to_pylist(), batch.column("raw"), batch.column("chunk").to_pylist(), strict=True)
+            for key, (rep, raw, chunk) in zip(keys, rows, strict=True):
+                if key != now:
+                    yield links(held)
+                    now, held = key, []
+                held.append((rep, raw.as_py(), chunk))
+        yield links(held)
+
+    def links(held: list[tuple[int, bytes, int]]) -> dict:
+        found = judge(*map(list, zip(*held, strict=True))) if held else []
+        return {"u": [u for u, _ in found], "v": [v for _, v in found]}
+
+    sent = meet(blocks, wanted, send, "place int, grp long, a int, b int, chunk int, rep long, raw binary")
+    return stored(map_rows(sent.repartitionById(places, "place").sortWithinPartitions("grp", "a", "b", "rep"), check, "u long, v long"), what)
 
 
 def groups_of(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, blocks: DataFrame | None = None) -> DataFrame:
