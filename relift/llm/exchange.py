@@ -168,7 +168,7 @@ def exchange(keys: DataFrame, kinds: tuple[str, ...], judge: Callable[..., tuple
         release()
         return pa.table({"block": pa.array(out["block"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
 
-    return keys.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "block long, blob binary")
+    return keys.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "block long, blob binary")
 
 
 def groups(key: np.ndarray) -> np.ndarray:

@@ -439,7 +439,7 @@ def _compared(rows: DataFrame, buckets: int) -> DataFrame:
         told = [(b, squeeze(*(np.concatenate(c).astype(kind) for c, kind in zip(zip(*f, strict=True), ("<u4", "<u1", "<u1"), strict=True)))) for b, f in zip(blocks, found, strict=True) if f]
         return pa.table({"block": pa.array([b for b, _ in told], pa.int64()), "blob": pa.array([x for _, x in told], pa.binary())})
 
-    return rows.where("kind = 0").select("block", "bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "block long, blob binary")
+    return rows.where("kind = 0").select("block", "bucket", "blob").repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "block long, blob binary")
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
